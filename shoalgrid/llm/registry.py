@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "mixing", "exact_dedup")
+MODULES = ("quality_rules", "mixing", "chat", "exact_dedup")
 
 
 def _gather(kind: str) -> dict:
