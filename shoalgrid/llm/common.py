@@ -62,3 +62,9 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Bound what one Arrow batch holds, for tables with very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
