@@ -2,7 +2,8 @@
 
 A fingerprint has 64 bits; two documents link at RADIUS or fewer differing bits. Every distinct fingerprint emits all its
 variants within RADIUS / 2 bits (1 + 64 + 2016); two fingerprints share a variant exactly if they link. Variants are shuffled
-as packed arrays, a row per task block and part. All fingerprints that meet in a variant link to each other by the triangle inequality, so
+as packed arrays of ten bytes a variant (the variant, and which difference made it: their XOR is the
+fingerprint again), a row per task block and part. All fingerprints that meet in a variant link to each other by the triangle inequality, so
 each links to the smallest of them only: no link between components is lost and a group of n near copies gives n - 1 edges
 a variant, not n squared. The edges are deduplicated and verified, then components follow by star contraction.
 
@@ -33,13 +34,14 @@ from shoalgrid.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-PASSES = 8
+PASSES = 6
 #: Variants that one task of the meeting stage holds, and fingerprints of one emitted block.
 TASK_VARIANTS = 1 << 21
 BLOCK = 1024
 _CHUNK = 1 << 16
 #: An odd constant: multiplying by it is a bijection of 64-bit words that mixes low bits into high ones.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_UNSPREAD = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def fingerprint(text: bytes) -> int:
@@ -91,10 +93,10 @@ def _emit(step: int, passes: int, parts: int, radius: int):
                 row, col = np.nonzero(high % np.uint32(passes) == step)
                 spread, part = spread[row, col], high[row, col] // np.uint32(passes) % np.uint32(parts)
                 order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-                spread, own, part = spread[order], fps[row[order]], part[order]
+                spread, which, part = spread[order], col[order].astype(np.uint16), part[order]
                 ids, first = np.unique(part, return_index=True)
                 ends = [*first[1:].tolist(), len(part)]
-                packed = [spread[a:b].tobytes() + own[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+                packed = [spread[a:b].tobytes() + which[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return run
@@ -102,23 +104,25 @@ def _emit(step: int, passes: int, parts: int, radius: int):
 
 def _meet(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spreads, owners = [], []
+        spreads, marks = [], []
         for batch in batches:
             for x in batch.column("packed"):
-                both = np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1)
-                spreads.append(both[0].copy())
-                owners.append(both[1].copy())
+                buffer = x.as_buffer()
+                n = buffer.size // 10
+                spreads.append(np.frombuffer(buffer, np.uint64, n).copy())
+                marks.append(np.frombuffer(buffer, np.uint16, n, 8 * n).copy())
         if not spreads:
             return
-        spread, own = np.concatenate(spreads), np.concatenate(owners)
-        del spreads, owners
+        spread, which = np.concatenate(spreads), np.concatenate(marks)
+        del spreads, marks
         order = np.argsort(spread)
-        spread, own = spread[order], own[order]
+        spread = spread[order]
         same = spread[1:] == spread[:-1]
         met = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        spread, own = spread[met], own[met]
-        if not len(spread):
+        if not met.any():
             return
+        spread, which = spread[met], which[order[met]]
+        own = spread * _UNSPREAD ^ masks(radius // 2)[which]
         order = np.lexsort((own, spread))
         spread, own = spread[order], own[order]
         new = np.concatenate(([True], spread[1:] != spread[:-1]))
@@ -139,7 +143,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, passes: int = PASSES) -> Da
     tasks = max(1, min(parts, -(-n // BLOCK)))
     for step in range(passes):
         spread = distinct.select("fp").repartition(tasks).mapInArrow(_emit(step, passes, 8 * parts, radius), "part int, packed binary")
-        spread.repartition(parts, "part").mapInArrow(_meet(radius), "a long, b long").write.parquet(f"{path}/{step}")
+        spread.repartition(parts, "part").mapInArrow(_meet(radius), "a long, b long").distinct().write.parquet(f"{path}/{step}")
         del spread
         release(spark)
     return spark.read.schema("a long, b long").parquet(*[f"{path}/{step}" for step in range(passes)])
