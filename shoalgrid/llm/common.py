@@ -68,3 +68,14 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     """Bound what one Arrow batch holds, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def task_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each task of repartition(parts, key) an integer key that goes to it, so that packed rows can be dealt out evenly."""
+    width = 32
+    while True:
+        ids = spark.range(parts * width).select(F.col("id").cast("int").alias("id"))
+        found = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
+        if len(found) == parts:
+            return [row["id"] for row in sorted(found)]
+        width *= 2

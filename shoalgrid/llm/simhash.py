@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, scratch_path, table
+from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, scratch_path, table, task_keys
 from shoalgrid.llm.components import components
 
 SHINGLE = 4
@@ -81,9 +81,11 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], np.uint64)
 
 
-def _emit(step: int, passes: int, parts: int, radius: int):
+def _emit(step: int, passes: int, keys: list[int], radius: int):
+    parts = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball = masks(radius // 2)
+        ball, key = masks(radius // 2), np.array(keys, np.int32)
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(every), BLOCK):
@@ -97,7 +99,7 @@ def _emit(step: int, passes: int, parts: int, radius: int):
                 ids, first = np.unique(part, return_index=True)
                 ends = [*first[1:].tolist(), len(part)]
                 packed = [spread[a:b].tobytes() + which[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[ids]), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return run
 
@@ -139,10 +141,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, passes: int = PASSES) -> Da
     spark = distinct.sparkSession
     n, size = distinct.count(), len(masks(radius // 2))
     parts = max(partitions(spark), -(-n * size // passes // TASK_VARIANTS))
-    path = scratch_path(spark, "simhash-links")
+    keys, path = task_keys(spark, parts), scratch_path(spark, "simhash-links")
     tasks = max(1, min(parts, -(-n // BLOCK)))
     for step in range(passes):
-        spread = distinct.select("fp").repartition(tasks).mapInArrow(_emit(step, passes, 8 * parts, radius), "part int, packed binary")
+        spread = distinct.select("fp").repartition(tasks).mapInArrow(_emit(step, passes, keys, radius), "part int, packed binary")
         spread.repartition(parts, "part").mapInArrow(_meet(radius), "a long, b long").distinct().write.parquet(f"{path}/{step}")
         del spread
         release(spark)
