@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "mixing", "chat", "simhash", "exact_dedup")
+MODULES = ("quality_rules", "mixing", "chat", "simhash", "substring_dedup", "exact_dedup")
 
 
 def _gather(kind: str) -> dict:
