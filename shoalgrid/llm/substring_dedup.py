@@ -32,7 +32,7 @@ from shoalgrid.llm.common import arrow_batches, materialize, partitions, release
 
 WINDOW = 35
 BLOCK_BYTES = 3 << 19
-TASK_ENTRIES = 1 << 22
+TASK_ENTRIES = 1 << 20
 _LOW = np.uint64((1 << 46) - 1)
 
 
@@ -263,7 +263,7 @@ def _replied(blocks: DataFrame, replies: DataFrame, columns: list[str]) -> DataF
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row. window: odd."""
     spark, anchor = docs.sparkSession, (window + 1) // 2
-    arrow_batches(spark)
+    arrow_batches(spark, megabytes=8)
     blocks = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(BLOCK_BYTES), "block long, words long, ids array<long>, texts array<binary>"), "substring-blocks"
     )
@@ -273,6 +273,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def exchange(rows: DataFrame, emit: Callable, meet: Callable, tag: str) -> DataFrame:
         packed = rows.mapInArrow(emit, "part int, block long, packed binary")
         out = materialize(packed.repartition(len(keys), "part").mapInArrow(meet, "block long, packed binary"), tag)
+        del packed
         release(spark)
         return out
 
