@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,11 +59,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are done (Spark keeps them until the driver collects its garbage)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of jobs that are done. Spark does so when the driver collects what stood for them, and what it queues for
+    cleaning is only known after a first collection; so twice, with time for the cleaner."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:

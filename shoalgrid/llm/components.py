@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.common import materialize, release
+from shoalgrid.llm.common import materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node that has an edge. edges: a, b of one orderable type, without nulls."""
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(now)
     while seen[0]:
         now = materialize(_star(_star(now, True), False), "edges")
-        release(spark)
         if (found := mark(now)) == seen:
             break
         seen = found
