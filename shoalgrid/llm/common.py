@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,9 +70,29 @@ def release(spark: SparkSession) -> None:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
-    """Bound what one Arrow batch holds, for tables with very long texts."""
+    """Ready the session for Arrow functions: bound what one batch holds, for tables with very long texts, and ship this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    _ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Executors import the functions that they run from this package; once an application, send it to them."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="shoalgrid-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent.parent
+    archive = f"{folder}/shoalgrid-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def task_keys(spark: SparkSession, parts: int) -> list[int]:
