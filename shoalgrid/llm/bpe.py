@@ -24,6 +24,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -192,7 +193,7 @@ def _encode(path: str | None, output: str):
             for at in range(0, len(texts), 256):
                 for n, ids, decoded in bpe.encode_batch(texts[at : at + 256]):
                     if output == "ids":
-                        done.append((n, list(map(int, ids.split())), decoded))
+                        done.append((n, np.fromstring(ids, np.int32, sep=" "), decoded))
                     else:
                         done.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             kind = pa.list_(pa.int32()) if output == "ids" else pa.string()

@@ -78,9 +78,10 @@ def _repeat_words(w: Column, window: int) -> Column:
     return F.when(n < 2, F.lit(0)).otherwise(found).cast("long")
 
 
-def document_statistics(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per document: doc_id, lang, the base counts, and the two histograms as arrays of counts."""
-    base = docs.select(F.col("doc_id"), F.col("lang"), F.coalesce("text", F.lit("")).alias("_t"))
+def document_statistics(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
+    """Per document: doc_id, lang, the base counts, and the two histograms as arrays of counts; with carry, the whole row as row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    base = docs.select(F.col("doc_id"), F.col("lang"), F.coalesce("text", F.lit("")).alias("_t"), *[row] * carry)
     base = base.withColumn("_w", words(F.col("_t")))
     base = base.withColumn("_s0", F.array_join("_w", "")).withColumn("_common", F.filter("_w", lambda x: x.isin(*VOCABULARY)))
     # Each pass takes one class of characters away, the most frequent first, so the later ones are short.
@@ -102,6 +103,7 @@ def document_statistics(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         _repeat_words(F.col("_w"), rules.window).alias("n_repeat_words"),
         F.array(*counts, left[-1].cast("long"), (F.length("_t") - left[0]).cast("long")).alias("classes"),
         F.array(*hits, n - F.size("_common")).alias("commons"),
+        *["row"] * carry,
     )
 
 
@@ -137,9 +139,9 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
     return let(total, lambda n: F.when(n > 0, distance(n)).otherwise(F.lit(0.0)))
 
 
-def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base counts, both distances to the nearest reference and the verdict; one row per row of docs."""
-    stats = materialize(document_statistics(docs, rules), "quality-statistics")
+def judged(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
+    """doc_id, the base counts, both distances to the nearest reference and the verdict (with carry, also row); one row per row of docs."""
+    stats = materialize(document_statistics(docs, rules, carry), "quality-statistics")
     refs = F.broadcast(language_references(stats, rules))
     near = lambda h, k: F.array_min(F.transform("references", lambda r: jensen_shannon(F.col(h), r[k])))
     n, chars = F.col("n_words"), F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -152,10 +154,15 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .withColumn("word_distance", F.coalesce(near("commons", "w"), F.lit(0.0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~(failed | far_classes | far_words))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), *["row"] * carry)
     )
 
 
+def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """docs without the documents that the rules reject."""
+    return judged(docs, rules, carry=True).filter("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "mixing", "quality_model", "toxicity", "chat", "bpe", "simhash", "substring_dedup", "exact_dedup")
+MODULES = ("quality_rules", "mixing", "quality_model", "toxicity", "chat", "bpe", "pii", "simhash", "substring_dedup", "exact_dedup")
 
 
 def _gather(kind: str) -> dict:
