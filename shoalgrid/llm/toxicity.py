@@ -1,11 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document's terms are its words (lower case, without punctuation around them) and their first four and five letters, each hashed into
-HASHES slots; a term counts once a document. Counts of every slot over all labelled rows that aren't held out (a table of at most HASHES rows)
-say which slots go with the label; the machine is over those, at most TERMS of them. It has a weight for each and
+A document's terms are its words (lower case, letters only) and their first four and five letters, each hashed into
+HASHES slots; a term counts once a document. The machine is fitted on a bounded sample: TRAINING_ROWS labelled documents that aren't held out, chosen by
+a hash of their doc_id, so the list of them can be broadcast and no text is shuffled. Counts of every slot over the sample (a table of at most
+HASHES rows) say which slots go with the label; the machine is over those, at most TERMS of them. It has a weight for each and
 a vector of FACTORS numbers, whose dot products are the weights of pairs, so that an insult with a group's name can weigh more than both alone.
-It is fitted on a bounded sample (TRAINING_ROWS labelled rows by seeded hash), then every document is scored in one pass over its whole text; the
-model is a few hundred KB whatever the input.
+Every document is then scored in one pass over its whole text; the model is a few hundred KB whatever the input.
 
 Defined cases: an empty or null text has no terms and gets the bias alone; without labels of both classes every score is the share of label 1 (0 without
 labels); repeated rows are scored each for itself; extra columns are ignored; an empty table gives an empty result.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.common import arrow_batches, table
+from shoalgrid.llm.common import arrow_batches, materialize, table
 from shoalgrid.llm.labels import held_out, training
 
 THRESHOLD = 0.5
@@ -38,37 +38,46 @@ MIN_CHI2 = 15.0
 #: Steps of BATCH rows.
 STEPS = 4000
 BATCH = 256
-#: Words whose slots a worker remembers.
-CACHE_WORDS = 300_000
+#: Tokens whose slots a task remembers.
+CACHE_TOKENS = 300_000
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_slots: dict[str, tuple[int, ...]] = {}
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def slots(word: str) -> tuple[int, ...]:
-    terms = {word, "^" + word[:4], "^" + word[:5]}
-    return tuple(sorted({xxhash.xxh64_intdigest(t.encode(), 7) % HASHES for t in terms}))
+def slots(token: str) -> tuple[int, ...]:
+    """Slots of the terms of a token, which may hold several words or none."""
+    terms = {t for w in _WORD.findall(token) for t in (w, "^" + w[:4], "^" + w[:5])}
+    return tuple({xxhash.xxh64_intdigest(t.encode(), 7) % HASHES for t in terms})
 
 
-def document_slots(text: str | None) -> set[int]:
-    global _slots
-    if len(_slots) > CACHE_WORDS:
-        _slots = {}
-    out: set[int] = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        found = _slots.get(word)
-        if found is None:
-            found = _slots[word] = slots(word)
-        out.update(found)
-    return out
+class Reader:
+    """The slots of texts (or, with place, the rows that stand for slots), remembering up to CACHE_TOKENS tokens."""
+
+    def __init__(self, place: dict[int, int] | None = None):
+        self.place, self.known = place, {}
+
+    def __call__(self, text: str | None) -> set[int]:
+        if len(self.known) > CACHE_TOKENS:
+            self.known = {}
+        out: set[int] = set()
+        for token in set((text or "").lower().split()):
+            found = self.known.get(token)
+            if found is None:
+                found = slots(token)
+                if self.place is not None:
+                    found = tuple(self.place[s] for s in found if s in self.place)
+                self.known[token] = found
+            if found:
+                out.update(found)
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label that have a slot, summed over the task."""
-    counts = (Counter(), Counter())
+    counts, read = (Counter(), Counter()), Reader()
     for batch in batches:
         for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-            counts[y].update(document_slots(text.as_py()))
+            counts[y].update(read(text.as_py()))
     keys = sorted(counts[0].keys() | counts[1].keys())
     for at in range(0, len(keys), 50_000):
         some = keys[at : at + 50_000]
@@ -77,8 +86,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pick(place: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(place)
         for batch in batches:
-            found = [sorted(place[s] for s in document_slots(t) if s in place) for t in batch.column("text").to_pylist()]
+            found = [sorted(read(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["h", "y", "terms"])
 
     return run
@@ -100,8 +110,8 @@ class Machine:
         s = v.sum(axis=0)
         return float(self.bias + self.weights[terms].sum() + 0.5 * ((s * s).sum() - (v * v).sum()))
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.raw([self.place[s] for s in document_slots(text) if s in self.place]), -30, 30))))
+    def scores(self, texts: list[str | None], read: Reader) -> list[float]:
+        return [float(1 / (1 + np.exp(-np.clip(self.raw(sorted(read(t))), -30, 30)))) for t in texts]
 
 
 def learn(rows: list[tuple[list[int], int]], size: int, seed: int = 11, steps: int = STEPS, rate: float = 0.2, decay: float = 1e-5) -> tuple[float, np.ndarray, np.ndarray]:
@@ -140,7 +150,11 @@ def learn(rows: list[tuple[list[int], int]], size: int, seed: int = 11, steps: i
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     """docs: doc_id and text."""
     arrow_batches(docs.sparkSession, megabytes=8)
-    rows = training(docs.select("doc_id", "text"), labels, label)
+    each = training(labels.select("doc_id").distinct(), labels, label)
+    chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).withColumnRenamed("doc_id", "_id")
+    chosen = materialize(chosen, "toxicity-chosen")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = materialize(rows, "toxicity-training")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
@@ -162,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
 
 def _score(model: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(model.place)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text").to_pylist(), read), pa.float64())], ["doc_id", "score"])
 
     return run
 
