@@ -73,63 +73,92 @@ class Bpe:
         if (split["type"], split["behavior"], split["invert"], level["type"], level["use_regex"], level["add_prefix_space"]) != ("Split", "Removed", True, "ByteLevel", False, False):
             raise ValueError("unsupported pre-tokenizer")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", SPACE))
-        self.symbol = byte_symbols()
-        self.parts: dict[int, tuple[str, ...]] = {}  # a token's base symbols
-        self.by_symbols: dict[tuple[str, ...], int] = {}
+        self.symbol = dict(enumerate(byte_symbols()))
+        self.halves: dict[str, tuple[str, str] | None] = {}  # the merge that makes a token; None for a symbol
+        # Tokens within a piece and those that end one, by their characters; and how long they get, by their last character.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
         for t, i in self.vocabulary.items():
-            body = t[: -len(self.end)] if self.end and t.endswith(self.end) else t
-            symbols = (*body[:-1], body[-1] + self.end) if body is not t and body else tuple(body)
-            if self.merge(symbols) == [t]:  # others can't come up
-                self.by_symbols[symbols] = i
-                self.parts[i] = symbols
-        self.longest = max(map(len, self.by_symbols), default=1)
+            ends = bool(self.end) and t.endswith(self.end) and t != self.end
+            body = t[: -len(self.end)] if ends else t
+            symbols = (*body[:-1], body[-1] + self.end) if ends else tuple(body)
+            whole, last = self.merge(symbols)
+            if whole == [t]:  # others can't come up
+                (self.final if ends else self.inner)[body] = i
+                self.halves[t] = last
+        if not self.end:
+            self.final = self.inner
+        self.reach_inner, self.reach_final = ({}, {})
+        for tokens, reach in ((self.inner, self.reach_inner), (self.final, self.reach_final)):
+            for t in tokens:
+                reach[t[-1]] = max(reach.get(t[-1], 0), len(t))
+        self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.agrees: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
-    def merge(self, symbols: Iterable[str]) -> list[str]:
-        """BPE as defined: merge the pair of the lowest rank, leftmost first, until none has a rank."""
-        out = list(symbols)
+    def merge(self, symbols: Iterable[str]) -> tuple[list[str], tuple[str, str] | None]:
+        """BPE as defined: merge the pair of the lowest rank, leftmost first, until none has a rank. (What is left, the last merge)."""
+        out, last = list(symbols), None
         while len(out) > 1:
             best = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(out, out[1:], strict=False)))
             if best[0] == len(self.rank):
                 break
-            out[best[1] : best[1] + 2] = [out[best[1]] + out[best[1] + 1]]
-        return out
+            last = (out[best[1]], out[best[1] + 1])
+            out[best[1] : best[1] + 2] = ["".join(last)]
+        return out, last
+
+    def edge(self, token: str, side: int) -> list[tuple[str, int]]:
+        """What stood at a token's right (1) or left (0) edge as it was merged: (token, rank of the merge that ended it), the token itself last in time."""
+        key = (token, side)
+        found = self.edges.get(key)
+        if found is None:
+            found, until, now = [], len(self.rank), token
+            while now is not None:
+                found.append((now, until))
+                halves = self.halves[now]
+                if halves is None:
+                    break
+                until, now = self.rank[halves], halves[side]
+            self.edges[key] = found
+        return found
 
     def neighbours(self, a: int, b: int) -> bool:
-        """Whether the symbols of both tokens together are encoded as these two."""
+        """Whether the symbols of both tokens together are encoded as these two: no merge across the edge comes while both its parts stand there. Of equal
+        ranks the left one goes first."""
         found = self.agrees.get((a, b))
         if found is None:
-            found = self.agrees[a, b] = self.merge(self.parts[a] + self.parts[b]) == [self.token[a], self.token[b]]
+            left, right, rank = self.edge(self.token[a], 1), self.edge(self.token[b], 0), self.rank
+            found = True
+            for x, before in left:
+                for y, upto in right:
+                    r = rank.get((x, y))
+                    if r is not None and r < before and r <= upto:
+                        found = False
+            self.agrees[a, b] = found
         return found
 
-    def symbols(self, piece: str) -> tuple[str, ...]:
-        out = [self.symbol[b] for b in piece.encode()]
-        if out:
-            out[-1] += self.end
-        return tuple(out)
+    def last_token(self, text: str, n: int, path: list[tuple[int, int]], tokens: dict[str, int], reach: dict[str, int]) -> tuple[int, int]:
+        """(last token of the encoding of text[:n], its length): the one token that ends it and agrees with what comes before."""
+        for size in range(min(n, reach.get(text[n - 1], 0)), 0, -1):
+            token = tokens.get(text[n - size : n])
+            if token is not None and (n == size or self.neighbours(path[n - size - 1][0], token)):
+                return token, size
+        raise ValueError(f"no token ends {text[:n]!r}")
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encodings of new pieces: sorted pieces are a trie's depth-first order, path holds the states from the root to where the walk is."""
-        path: list[tuple[int, int]] = []  # for each prefix of the current piece: (last token, its length in symbols)
-        before: tuple[str, ...] = ()
-        for symbols, piece in sorted((self.symbols(p), p) for p in pieces):
-            shared = 0
-            for x, y in zip(before, symbols, strict=False):
-                if x != y:
-                    break
+        path: list[tuple[int, int]] = []  # of each prefix that doesn't end a piece
+        before = ""
+        for text, piece in sorted(("".join([self.symbol[b] for b in p.encode()]), p) for p in pieces):
+            most, shared = min(len(path), len(text) - 1), 0
+            while shared < most and before[shared] == text[shared]:
                 shared += 1
             del path[shared:]
-            before = symbols
-            for n in range(len(path) + 1, len(symbols) + 1):
-                for size in range(min(n, self.longest), 0, -1):
-                    token = self.by_symbols.get(symbols[n - size : n])
-                    if token is not None and (n == size or self.neighbours(path[n - size - 1][0], token)):
-                        path.append((token, size))
-                        break
-                else:
-                    raise ValueError(f"no token ends {symbols[:n]}")
-            ids, at = [], len(symbols)
+            before = text
+            for n in range(shared + 1, len(text)):
+                path.append(self.last_token(text, n, path, self.inner, self.reach_inner))
+            token, size = self.last_token(text, len(text), path, self.final, self.reach_final)
+            ids, at = [token], len(text) - size
             while at:
                 token, size = path[at - 1]
                 ids.append(token)
