@@ -152,7 +152,7 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray,
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     parts = [_split(p) for p in patterns]
-    kind, vote = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    kind, vote = np.array([p[0] for p in parts], int), np.array([p[1] for p in parts], int).reshape(-1, 3)
     # Start from the majority: yes counts 1, no counts -1; a tie says nothing.
     p = 1 / (1 + np.exp(-1.5 * ((vote == 2).sum(axis=1) - (vote == 1).sum(axis=1))))
     prior, given = np.full(len(KINDS), 0.5), np.full((3, 2, 3), 1 / 3)
