@@ -7,17 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    own = tempfile.mkdtemp(prefix="shoalgrid-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/shoalgrid-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir, or one of our own where it is unset) and read back."""
+    """df as a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shoalgrid-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/shoalgrid-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

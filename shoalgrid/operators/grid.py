@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.lineage import cut
+from shoalgrid.operators import stars
+from shoalgrid.shipping import ship
 
 
 def along(axis: str, reach: int):
@@ -65,29 +67,13 @@ def _runs(cells: DataFrame) -> DataFrame:
     return numbered.groupBy("y", "k").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("y", "a", "b", F.struct("y", F.col("a").alias("x")).alias("run"))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest of its component) for nodes with edges, by alternating large and small stars."""
-    now, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "runs"), None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct(), "runs")
-
-
 def components(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """x, y and comp (struct of y and x of the component's first cell in raster order) of every cell given."""
     runs = cut(_runs(cells), "runs")
     reach = 1 if diagonal else 0
     above = runs.select((F.col("y") + 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("run2"))
     edges = runs.join(above, "y").filter((F.col("a") <= F.col("b2") + reach) & (F.col("a2") <= F.col("b") + reach)).select(F.col("run").alias("a"), F.col("run2").alias("b"))
-    roots = _stars(edges)
+    roots = stars.components(edges)
     named = runs.join(roots, runs.run == roots.node, "left").select("y", "a", "b", F.coalesce("root", "run").alias("comp"))
     return named.select(F.explode(F.sequence("a", "b")).alias("x"), "y", "comp")
 
@@ -145,6 +131,7 @@ def distance(cells: DataFrame, seeds: Column, across: float = 1.0, down: float =
         mine = ((pdf.x // tile == pdf.tx) & (pdf.y // tile == pdf.ty)).to_numpy()
         return pd.DataFrame({"x": pdf.x[mine], "y": pdf.y[mine], "dist": found[mine], "moved": (found < pdf.dist.to_numpy() - 1e-12)[mine]})
 
+    ship(cells.sparkSession)
     for _ in range(rounds):
         out = state.select("*", F.explode(places).alias("t")).select("x", "y", "dist", "t.tx", "t.ty").groupBy("tx", "ty").applyInPandas(solve, "x int, y int, dist double, moved boolean")
         out = cut(out, "distance")
@@ -170,6 +157,7 @@ def tile_kernel(cells: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], va
         mine = (pdf.x // tile == pdf.tx) & (pdf.y // tile == pdf.ty)
         return pd.DataFrame({"x": pdf.x[mine], "y": pdf.y[mine], value: out[pdf.y[mine] - y0, pdf.x[mine] - x0]})
 
+    ship(cells.sparkSession)
     spread = [F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)) for c in ("x", "y")]
     rows = cells.select(F.col("x").cast("int"), F.col("y").cast("int"), F.col(value).cast("double"), spread[0].alias("a"), spread[1].alias("b"))
     rows = rows.select("x", "y", value, F.explode("a").alias("tx"), "b").select("x", "y", value, "tx", F.explode("b").alias("ty"))
