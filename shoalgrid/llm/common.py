@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalgrid.lineage import cut
+from shoalgrid.shipping import ship
+
 #: Words are maximal runs without a space or a character from tab to carriage return.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
@@ -37,27 +34,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="shoalgrid-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/shoalgrid-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, read back."""
+    return cut(df, tag)
 
 
 def release(spark: SparkSession) -> None:
@@ -73,26 +52,7 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     """Ready the session for Arrow functions: bound what one batch holds, for tables with very long texts, and ship this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-    _ship(spark)
-
-
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Executors import the functions that they run from this package; once an application, send it to them."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    folder = tempfile.mkdtemp(prefix="shoalgrid-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    package = Path(__file__).resolve().parent.parent
-    archive = f"{folder}/shoalgrid-code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    ship(spark)
 
 
 def task_keys(spark: SparkSession, parts: int) -> list[int]:

@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, scratch_path, table, task_keys
-from shoalgrid.llm.components import components
+from shoalgrid.lineage import scratch_path
+from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, table, task_keys
+from shoalgrid.operators.stars import components
 
 SHINGLE = 4
 SEED = 42
