@@ -7,7 +7,7 @@ a sequence of tokens is an encoding exactly if each two neighbours are, so a pre
 agrees with the last token of what comes before. A prefix shared by many words is so encoded once.
 
 Nothing is shuffled: the vocabulary is a file of fixed size, read once a worker, and each worker's table of
-pieces is bounded (CACHE_PIECES), then started afresh.
+pieces (and of pairs of tokens) is bounded, then started afresh.
 
 The tokenizer file is a parameter. Supported: BPE without dropout, unknown token and byte fallback, over byte symbols, with or without an end-of-word
 suffix; added tokens that are special and not normalised are found in the raw text first. A file that asks for more is refused.
@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from shoalgrid.llm.common import arrow_batches, table
 
 FILE = "word_bpe_49k.json"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 300_000
 #: White space as Unicode has it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
@@ -188,6 +189,8 @@ class Bpe:
         cut = [self.cut_text(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known = {}
+        if len(self.agrees) > CACHE_PAIRS:
+            self.agrees = {}
         new = {p for pieces in cut for p in pieces} - self.known.keys()
         self.learn(new - self.special.keys())
         self.known |= {t: (1, str(i), t) for t, i in self.special.items()}
