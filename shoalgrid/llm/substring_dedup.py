@@ -255,9 +255,8 @@ def _remove(window: int):
 
 
 def _replied(blocks: DataFrame, replies: DataFrame, columns: list[str]) -> DataFrame:
-    """Each block with what was found for it: an array with one packed entry a task."""
-    mine = replies.groupBy("block").agg(F.collect_list("packed").alias("replies"))
-    return blocks.select("block", "texts", *columns).join(mine.hint("shuffle_hash"), "block", "left").select("block", "texts", "replies", *columns)
+    """Each block with what was found for it."""
+    return blocks.select("block", "texts", *columns).join(replies.hint("shuffle_hash"), "block", "left").select("block", "texts", "replies", *columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -272,8 +271,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def exchange(rows: DataFrame, emit: Callable, meet: Callable, tag: str) -> DataFrame:
         packed = rows.mapInArrow(emit, "part int, block long, packed binary")
-        out = materialize(packed.repartition(len(keys), "part").mapInArrow(meet, "block long, packed binary"), tag)
-        del packed
+        replies = packed.repartition(len(keys), "part").mapInArrow(meet, "block long, packed binary")
+        out = materialize(replies.groupBy("block").agg(F.collect_list("packed").alias("replies")), tag)  # one packed entry a task
+        del packed, replies
         release(spark)
         return out
 
