@@ -6,7 +6,7 @@ prefix that it stands for, and the state of the prefix before that token. BPE ha
 a sequence of tokens is an encoding exactly if each two neighbours are, so a prefix's last token is the one token that ends it and
 agrees with the last token of what comes before. A prefix shared by many words is so encoded once.
 
-Nothing is shuffled: the vocabulary is a file of fixed size, read once a worker, and each worker's table of
+Nothing is shuffled: the vocabulary is a file of fixed size, read once a worker, and each task's table of
 pieces (and of pairs of tokens) is bounded, then started afresh.
 
 The tokenizer file is a parameter. Supported: BPE without dropout, unknown token and byte fallback, over byte symbols, with or without an end-of-word
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from shoalgrid.llm.common import arrow_batches, table
 
 FILE = "word_bpe_49k.json"
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 CACHE_PAIRS = 300_000
 #: White space as Unicode has it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -231,6 +231,7 @@ def _encode(path: str | None, output: str):
             kind = pa.list_(pa.int32()) if output == "ids" else pa.string()
             columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], kind), pa.array([d[2] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], *columns], [*rest, "_n", "_a", "_b"])
+        bpe.known = {}  # an idle worker keeps none
 
     return run
 
