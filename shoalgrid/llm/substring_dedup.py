@@ -10,7 +10,8 @@
    shared by n documents costs n, not n squared.
 4. Each block gets its repeated windows back and drops the words they cover.
 
-What is shuffled is packed arrays, a row per block and task; the number of tasks follows from the number of words.
+What is shuffled is packed arrays, a row per block and task; the number of tasks follows from the number of words. What a task answers is
+one bit for each entry that a block sent, in the order sent: the block, whose text is unchanged, makes the same entries again.
 
 Defined cases: null and empty texts have no words; a text shorter than WINDOW loses nothing; all texts are judged on the input, so all occurrences
 of a repeat go, the first included; repeated rows are documents of their own and so remove each other's windows; extra columns are ignored;
@@ -97,19 +98,29 @@ def _blocks(limit: int):
     return run
 
 
-def _texts(x: pa.ListScalar) -> list[bytes]:
-    return x.values.to_pylist() if x.is_valid else []
-
-
-def _deal(block: int, part: np.ndarray, keys: list[int], columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each task that gets something: its key, the block, and the packed columns."""
-    order = np.argsort(part.astype(np.uint16) if len(keys) <= 1 << 16 else part, kind="stable")
-    ids, first = np.unique(part[order], return_index=True)
-    ends = [*first[1:].tolist(), len(part)]
-    sorted_columns = [c[order] for c in columns]
-    packed = [b"".join(c[a:b].tobytes() for c in sorted_columns) for a, b in zip(first.tolist(), ends, strict=True)]
-    n = len(packed)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int32)[ids]), pa.array(np.full(n, block, np.int64)), pa.array(packed, pa.binary())], ["part", "block", "packed"])
+class Deal:
+    """Which task each entry of a block goes to, and in what order."""
+
+    def __init__(self, hashes: np.ndarray, keys: list[int]):
+        part = (hashes >> np.uint64(40)) % np.uint64(len(keys))
+        self.order = np.argsort(part.astype(np.uint16) if len(keys) <= 1 << 16 else part, kind="stable")
+        ids, first = np.unique(part[self.order], return_index=True)
+        ends = [*first[1:].tolist(), len(part)][: len(ids)]
+        self.places = {keys[i]: (a, b) for i, a, b in zip(ids.tolist(), first.tolist(), ends, strict=True)}
+
+    def rows(self, block: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        """A row for each task that gets something: its key, the block, and the packed columns."""
+        ordered = [c[self.order] for c in columns]
+        packed = [b"".join(c[a:b].tobytes() for c in ordered) for a, b in self.places.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(self.places), pa.int32()), pa.array([block] * len(packed), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
+
+    def flags(self, replies: list[dict]) -> np.ndarray:
+        """What the tasks answered, by entry."""
+        out = np.zeros(len(self.order), bool)
+        for r in replies:
+            a, b = self.places[r["part"]]
+            out[self.order[a:b]] = np.unpackbits(np.frombuffer(r["packed"], np.uint8), count=b - a).astype(bool)
+        return out
 
 
 def _counted(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,120 +135,146 @@ def _counted(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray,
     return order, first, np.diff(np.append(first, len(order)))
 
 
-def _each(column: str, batches: Iterator[pa.RecordBatch]):
-    """(block, Block, packed replies) of every row of block batches."""
+class Probes:
+    """A block's entries for the index: a row for each distinct window of `anchor` words in documents that are long enough."""
+
+    def __init__(self, b: Block, anchor: int, window: int, keys: list[int]):
+        self.block, self.anchor, self.window = b, anchor, window
+        self.valid = b.windows(anchor) & (b.left + b.at >= window)[: max(0, len(b.hashes) - anchor + 1)]
+        every = rolling(b.hashes, anchor, 1)[self.valid]
+        self.order, self.first, self.size = _counted((every,))
+        self.hashes = every[self.order][self.first]
+        self.deal = Deal(self.hashes, keys)
+
+    def rows(self, number: int) -> pa.RecordBatch | None:
+        if not len(self.hashes):
+            return None
+        anchored = (self.block.at[: len(self.valid)][self.valid] % self.anchor == 0).astype(np.uint8)
+        anchored = np.maximum.reduceat(anchored[self.order], self.first)
+        entry = ((self.hashes & _LOW) << np.uint64(2)) | (anchored.astype(np.uint64) << np.uint64(1)) | (self.size > 1).astype(np.uint64)
+        return self.deal.rows(number, [np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :6])])
+
+    def candidates(self, replies: list[dict]) -> np.ndarray:
+        """Starts of the full windows that hold a hit."""
+        hit = np.zeros(len(self.valid), bool)
+        inner = np.zeros(len(self.order), bool)
+        inner[self.order] = np.repeat(self.deal.flags(replies), self.size)
+        hit[self.valid] = inner
+        before = np.concatenate(([0], np.cumsum(hit)))
+        valid = self.block.windows(self.window)
+        start = np.arange(len(valid))
+        return np.nonzero(valid & (before[start + self.window - self.anchor + 1] > before[start]))[0]
+
+
+class Windows:
+    """A block's candidate windows, a row for each distinct one."""
+
+    def __init__(self, probes: Probes, replies: list[dict], keys: list[int]):
+        hashes, window = probes.block.hashes, probes.window
+        self.starts = probes.candidates(replies)
+        one, two = rolling(hashes, window, 2)[self.starts], rolling(hashes, window, 3)[self.starts] & ~np.uint64(1)
+        self.order, self.first, self.size = _counted((two, one))
+        self.one, self.two = one[self.order][self.first], two[self.order][self.first]
+        self.deal = Deal(self.one, keys)
+
+    def rows(self, number: int) -> pa.RecordBatch | None:
+        return self.deal.rows(number, [self.one, self.two | (self.size > 1).astype(np.uint64)]) if len(self.starts) else None
+
+    def repeated(self, replies: list[dict]) -> np.ndarray:
+        """Starts of the windows that are found twice."""
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = np.repeat(self.deal.flags(replies), self.size)
+        return self.starts[out]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            replies = batch.column(column)[k] if column else None
-            yield batch.column("block")[k].as_py(), _texts(batch.column("texts")[k]), (_texts(replies) if replies is not None else []), (batch.column("ids")[k].as_py() if "ids" in batch.schema.names else [])
+            yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
 
 def _probe(keys: list[int], anchor: int, window: int):
-    parts = np.uint64(len(keys))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts, _, _ in _each("", batches):
-            b = Block(texts)
-            valid = b.windows(anchor) & (b.left + b.at >= window)[: max(0, len(b.hashes) - anchor + 1)]
-            h = rolling(b.hashes, anchor, 1)[valid]
-            if not len(h):
-                continue
-            anchored = (b.at[: len(valid)][valid] % anchor == 0).astype(np.uint8)
-            order, first, size = _counted((h,))
-            h, anchored = h[order][first], np.maximum.reduceat(anchored[order], first)
-            entry = ((h & _LOW) << np.uint64(2)) | (anchored.astype(np.uint64) << np.uint64(1)) | (size > 1).astype(np.uint64)
-            yield _deal(block, (h >> np.uint64(40)) % parts, keys, [np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :6])])
+        for r in _each(batches):
+            out = Probes(Block(r["texts"]), anchor, window, keys).rows(r["block"])
+            if out is not None:
+                yield out
 
     return run
 
 
-def _reply(rows: Iterator[tuple[np.ndarray, bytes]]) -> pa.RecordBatch:
-    found = [(b, p) for b, p in rows if p]
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], ["block", "packed"])
+def _extend(keys: list[int], anchor: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            out = Windows(Probes(Block(r["texts"]), anchor, window, keys), r["hits"], keys).rows(r["block"]) if r["hits"] else None
+            if out is not None:
+                yield out
+
+    return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[pa.Buffer]]:
-    blocks, buffers = [], []
+def _answers(batches: Iterator[pa.RecordBatch], judge: Callable[[list[pa.Buffer]], tuple[np.ndarray, list[int]]]) -> Iterator[pa.RecordBatch]:
+    """For each row that a task got, a bit for each of its entries; rows without any are left out."""
+    parts, blocks, buffers = [], [], []
     for batch in batches:
+        parts += batch.column("part").to_pylist()
         blocks += batch.column("block").to_pylist()
         buffers += [x.as_buffer() for x in batch.column("packed")]
-    return blocks, buffers
-
-
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the entries of a task, those that hold a reference block and are found twice, back to the blocks that have them."""
-    blocks, buffers = _gather(batches)
     if not blocks:
         return
-    counts = [x.size // 6 for x in buffers]
-    wide = np.zeros((sum(counts), 8), np.uint8)
-    at = 0
-    for x, n in zip(buffers, counts, strict=True):
-        wide[at : at + n, :6] = np.frombuffer(x, np.uint8, 6 * n).reshape(n, 6)
+    yes, counts = judge(buffers)
+    found, at = [], 0
+    for p, b, n in zip(parts, blocks, counts, strict=True):
+        mine = yes[at : at + n]
         at += n
-    entry = wide.view(np.uint64).ravel()
-    key = entry >> np.uint64(2)
-    order, first, size = _counted((key,))
-    flags = np.bitwise_or.reduceat(entry[order], first)
-    hit = ((flags >> np.uint64(1) & np.uint64(1)) == 1) & ((size > 1) | (flags & np.uint64(1) == 1))
-    back = np.zeros(len(key), bool)
-    back[order] = np.repeat(hit, size)
-    ends = np.cumsum(counts).tolist()
-    yield _reply((b, key[e - n : e][back[e - n : e]].tobytes()) for b, e, n in zip(blocks, ends, counts, strict=True))
+        if mine.any():
+            found.append((b, p, np.packbits(mine).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "packed"])
 
 
-def _extend(keys: list[int], anchor: int, window: int):
-    parts = np.uint64(len(keys))
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the entries of a task, those that hold a reference block and are found twice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts, replies, _ in _each("replies", batches):
-            if not replies:
-                continue
-            b = Block(texts)
-            wanted = np.sort(np.concatenate([np.frombuffer(r, np.uint64) for r in replies]))
-            low = rolling(b.hashes, anchor, 1) & _LOW
-            hit = b.windows(anchor) & (wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low)
-            before = np.concatenate(([0], np.cumsum(hit)))
-            valid = b.windows(window)
-            start = np.arange(len(valid))
-            chosen = np.nonzero(valid & (before[start + window - anchor + 1] > before[start]))[0]
-            if not len(chosen):
-                continue
-            one, two = rolling(b.hashes, window, 2)[chosen], rolling(b.hashes, window, 3)[chosen] & ~np.uint64(1)
-            order, first, size = _counted((two, one))
-            one, two = one[order][first], two[order][first] | (size > 1).astype(np.uint64)
-            yield _deal(block, (one >> np.uint64(40)) % parts, keys, [one, two])
+    def judge(buffers: list[pa.Buffer]) -> tuple[np.ndarray, list[int]]:
+        counts = [x.size // 6 for x in buffers]
+        wide, at = np.zeros((sum(counts), 8), np.uint8), 0
+        for x, n in zip(buffers, counts, strict=True):
+            wide[at : at + n, :6] = np.frombuffer(x, np.uint8, 6 * n).reshape(n, 6)
+            at += n
+        entry = wide.view(np.uint64).ravel()
+        order, first, size = _counted((entry >> np.uint64(2),))
+        flags = np.bitwise_or.reduceat(entry[order], first)
+        hit = ((flags >> np.uint64(1) & np.uint64(1)) == 1) & ((size > 1) | (flags & np.uint64(1) == 1))
+        yes = np.zeros(len(entry), bool)
+        yes[order] = np.repeat(hit, size)
+        return yes, counts
 
-    return run
+    return _answers(batches, judge)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the full windows of a task, those found twice, back to the blocks that have them."""
-    blocks, buffers = _gather(batches)
-    if not blocks:
-        return
-    counts = [x.size // 16 for x in buffers]
-    one = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(buffers, counts, strict=True)])
-    two = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(buffers, counts, strict=True)])
-    many, two = two & np.uint64(1), two & ~np.uint64(1)
-    order, first, size = _counted((two, one))
-    twice = (size > 1) | (np.bitwise_or.reduceat(many[order], first) == 1)
-    back = np.zeros(len(one), bool)
-    back[order] = np.repeat(twice, size)
-    ends = np.cumsum(counts).tolist()
-    yield _reply((b, one[e - n : e][back[e - n : e]].tobytes() + two[e - n : e][back[e - n : e]].tobytes()) for b, e, n in zip(blocks, ends, counts, strict=True))
-
-
-def _remove(window: int):
+    """Of the full windows of a task, those found twice."""
+
+    def judge(buffers: list[pa.Buffer]) -> tuple[np.ndarray, list[int]]:
+        counts = [x.size // 16 for x in buffers]
+        one = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(buffers, counts, strict=True)])
+        two = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(buffers, counts, strict=True)])
+        many, two = two & np.uint64(1), two & ~np.uint64(1)
+        order, first, size = _counted((two, one))
+        twice = (size > 1) | (np.bitwise_or.reduceat(many[order], first) == 1)
+        yes = np.zeros(len(one), bool)
+        yes[order] = np.repeat(twice, size)
+        return yes, counts
+
+    return _answers(batches, judge)
+
+
+def _remove(keys: list[int], anchor: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, replies, ids in _each("replies", batches):
-            if replies:
-                b = Block(texts)
-                both = np.concatenate([np.frombuffer(r, np.uint64).reshape(2, -1) for r in replies], axis=1)
-                both = both[:, np.argsort(both[0])]
-                one, two = rolling(b.hashes, window, 2), rolling(b.hashes, window, 3) & ~np.uint64(1)
-                place = np.minimum(np.searchsorted(both[0], one), both.shape[1] - 1)
-                found = np.nonzero(b.windows(window) & (both[0][place] == one) & (both[1][place] == two))[0]
+        for r in _each(batches):
+            if r["repeats"]:
+                b = Block(r["texts"])
+                found = Windows(Probes(b, anchor, window, keys), r["hits"], keys).repeated(r["repeats"])
                 edges = np.bincount(found, minlength=len(b.hashes) + 1) - np.bincount(found + window, minlength=len(b.hashes) + 1)
                 keep = np.cumsum(edges)[:-1] == 0
                 kept = []
@@ -245,18 +282,21 @@ def _remove(window: int):
                     mine = keep[s:e]
                     kept.append((len(ws), b" ".join(ws) if mine.all() else b" ".join([w for w, k in zip(ws, mine.tolist(), strict=True) if k]), int(e - s - mine.sum())))
             else:
-                kept = [(len(ws), b" ".join(ws), 0) for ws in map(bytes.split, texts)]
+                kept = [(len(ws), b" ".join(ws), 0) for ws in map(bytes.split, r["texts"])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary()).cast(pa.string())],
+                [pa.array(r["ids"], pa.int64()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary()).cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_text"],
             )
 
     return run
 
 
-def _replied(blocks: DataFrame, replies: DataFrame, columns: list[str]) -> DataFrame:
-    """Each block with what was found for it."""
-    return blocks.select("block", "texts", *columns).join(replies.hint("shuffle_hash"), "block", "left").select("block", "texts", "replies", *columns)
+def _replied(blocks: DataFrame, **replies: DataFrame) -> DataFrame:
+    """Each block with what was answered to it, under the name given."""
+    for name, rows in replies.items():
+        mine = rows.groupBy("block").agg(F.collect_list(F.struct("part", "packed")).alias(name))
+        blocks = blocks.join(mine.hint("shuffle_hash"), "block", "left")
+    return blocks
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -270,16 +310,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keys = task_keys(spark, max(partitions(spark), -(-total // TASK_ENTRIES)))
 
     def exchange(rows: DataFrame, emit: Callable, meet: Callable, tag: str) -> DataFrame:
-        packed = rows.mapInArrow(emit, "part int, block long, packed binary")
-        replies = packed.repartition(len(keys), "part").mapInArrow(meet, "block long, packed binary")
-        out = materialize(replies.groupBy("block").agg(F.collect_list("packed").alias("replies")), tag)  # one packed entry a task
-        del packed, replies
+        packed = rows.mapInArrow(emit(keys, anchor, window), "part int, block long, packed binary")
+        out = materialize(packed.repartition(len(keys), "part").mapInArrow(meet, "block long, part int, packed binary"), tag)
+        del packed
         release(spark)
         return out
 
-    hits = exchange(blocks.select("block", "texts"), _probe(keys, anchor, window), _hits, "substring-hits")
-    repeats = exchange(_replied(blocks, hits, []), _extend(keys, anchor, window), _repeats, "substring-repeats")
-    return _replied(blocks, repeats, ["ids"]).mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    texts = blocks.select("block", "texts")
+    hits = exchange(texts, _probe, _hits, "substring-hits")
+    repeats = exchange(_replied(texts, hits=hits), _extend, _repeats, "substring-repeats")
+    return _replied(blocks.drop("words"), hits=hits, repeats=repeats).mapInArrow(_remove(keys, anchor, window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
