@@ -1,10 +1,10 @@
 """Exact dedup by progressive refinement (DataFrame functions only).
 
-Three rounds, each narrowing what the next one looks at: byte length, then a hash of the first bytes, then SHA-256 of the
-whole text. A round's survivors are passed on as a set of buckets, not of keys: keys are hashed into a fixed number of
-buckets and a bucket survives if two rows fall into it. That set has at most LENGTH_BUCKETS or PREFIX_BUCKETS rows whatever
-the input, so it can be broadcast and no text is ever shuffled to find duplicates; a chance meeting in a bucket only costs
-one more hash. Text is shuffled by one path only: rows of true groups, to keep one of each.
+Three rounds, each narrowing what the next one looks at: byte length, then a hash of the first characters, then SHA-256 of the
+whole text. A round counts its keys (eight bytes each, map-side first) and passes on those that two rows share, as bits of a table with at most
+BIT_ROWS rows of 64: that bound holds whatever the input, so the table can be broadcast and no text is shuffled to find duplicates. Only
+shared keys set bits, so unique texts are seldom let through; two keys that meet in a bit only cost one more hash. Text is shuffled by one path
+only: rows of true groups (and those few), to keep one of each.
 
 Defined cases: a null text equals the empty text; texts are compared byte for byte, unchanged; of equal texts the largest
 doc_id stays (null doc_ids are the smallest); rows that repeat both text and doc_id are one document: all carry the same
@@ -18,33 +18,40 @@ from pyspark.sql import functions as F
 
 from shoalgrid.llm.common import materialize, table
 
-LENGTH_BUCKETS = 1 << 16
-PREFIX_BUCKETS = 1 << 18
+#: Rows of the table of shared keys that is broadcast, 64 bits each.
+BIT_ROWS = 1 << 20
 PREFIX_CHARS = 256
 
 _KEYS = ("_len", "_prefix", "_sha")
 
 
-def _shared_buckets(keyed: DataFrame, bucket: Column, size: int) -> DataFrame:
-    """Buckets that hold two rows or more; at most `size` rows, of one integer each."""
-    return F.broadcast(keyed.groupBy(F.pmod(bucket, F.lit(size)).cast("int").alias("_bucket")).count().filter("count > 1").select("_bucket"))
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BIT_ROWS * 64))
 
 
-def _survivors(rows: DataFrame, buckets: DataFrame, bucket: Column, size: int) -> DataFrame:
-    return rows.withColumn("_bucket", F.pmod(bucket, F.lit(size)).cast("int")).join(buckets, "_bucket", "left_semi").drop("_bucket")
+def _shared(keyed: DataFrame, key: Column) -> DataFrame:
+    """_row and _bits: a bit is set if a key of that slot is found in two rows or more."""
+    several = keyed.groupBy(key.alias("_key")).count().filter("count > 1").select(_slot(F.col("_key")).alias("_slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_slot") % 64).cast("int"))
+    return F.broadcast(several.groupBy(F.shiftright("_slot", 6).cast("int").alias("_row")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def _flagged(rows: DataFrame, shared: DataFrame, key: Column) -> DataFrame:
+    """rows with _may: whether another row may have the same key."""
+    placed = rows.withColumn("_slot", _slot(key)).withColumn("_row", F.shiftright("_slot", 6).cast("int"))
+    may = F.coalesce(F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1, F.lit(False))
+    return placed.join(shared, "_row", "left").withColumn("_may", may).drop("_slot", "_row", "_bits")
 
 
 def survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose length and prefix another row may share, with _len, _prefix; all other rows, which are unique)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("_len", F.octet_length(text))
-    shared_lengths = _shared_buckets(keyed.select("_len"), F.col("_len"), LENGTH_BUCKETS)
-    prefixed = _survivors(keyed, shared_lengths, F.col("_len"), LENGTH_BUCKETS).withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
+    lengths = _shared(keyed, F.col("_len"))
+    prefixed = _flagged(keyed.select("text", "_len"), lengths, F.col("_len")).filter("_may").select("_len", F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_prefix"))
     key = F.xxhash64("_len", "_prefix")
-    shared_prefixes = _shared_buckets(prefixed.select("_len", "_prefix"), key, PREFIX_BUCKETS)
-    flagged = keyed.withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
-    flagged = flagged.withColumn("_bucket", F.pmod(key, F.lit(PREFIX_BUCKETS)).cast("int"))
-    return flagged.join(shared_prefixes, "_bucket", "left_semi").drop("_bucket"), flagged.join(shared_prefixes, "_bucket", "left_anti").drop("_bucket", "_len", "_prefix")
+    flagged = _flagged(keyed.withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX_CHARS))), _shared(prefixed, key), key)
+    return flagged.filter("_may").drop("_may"), flagged.filter(~F.col("_may")).select(*docs.columns)
 
 
 def _hashed(rows: DataFrame) -> DataFrame:

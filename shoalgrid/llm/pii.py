@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,12 +199,19 @@ def classifier(counts: dict[int, int], probable: dict[int, float], rounds: int =
 def resolve(spans: list[dict], accepted: frozenset[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (kind, start, end), by kind, then start. Added ones don't overlap base spans or each other."""
     base = sorted((s["kind"], s["start"], s["end"]) for s in spans if s["strict"])
-    taken = sorted((a, b) for _, a, b in base)
-    added = []
+    starts, ends = [], []  # what base spans cover, as disjoint intervals
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    added, reach = [], 0  # candidates come by start, so of the added ones only the furthest end matters
     for s in sorted((s for s in spans if not s["strict"] and s["pattern"] in accepted), key=lambda s: (s["start"], -s["end"], s["kind"])):
-        if not any(a < s["end"] and s["start"] < b for a, b in taken):
+        k = bisect_left(starts, s["end"])
+        if s["start"] >= reach and (k == 0 or ends[k - 1] <= s["start"]):
             added.append((s["kind"], s["start"], s["end"]))
-            taken.append((s["start"], s["end"]))
+            reach = s["end"]
     return base, sorted(base + added)
 
 

@@ -113,7 +113,7 @@ def base_failed(rules: Rules) -> Column:
 
 
 def language_references(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row: for each of the LANGUAGES that the table has, its pooled histograms as shares. At most len(LANGUAGES) entries, so it can be broadcast."""
+    """One row: for each of the LANGUAGES that the table has, its pooled histograms as shares. At most len(LANGUAGES) entries."""
     size = len(CLASSES) + 2, len(VOCABULARY) + 1
     few = F.lit(100) * F.col("n_symbols") <= F.lit(rules.max_reference_symbols) * F.col("n_words")
     known = stats.filter(F.col("lang").isin(*LANGUAGES) & ~base_failed(rules) & few)
@@ -142,14 +142,13 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
 def judged(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
     """doc_id, the base counts, both distances to the nearest reference and the verdict (with carry, also row); one row per row of docs."""
     stats = materialize(document_statistics(docs, rules, carry), "quality-statistics")
-    refs = F.broadcast(language_references(stats, rules))
     near = lambda h, k: F.array_min(F.transform("references", lambda r: jensen_shannon(F.col(h), r[k])))
     n, chars = F.col("n_words"), F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     failed = base_failed(rules)
     far_classes = (chars >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance)
     far_words = (n >= rules.min_common_base) & (F.col("word_distance") > rules.max_word_distance)
     return (
-        stats.crossJoin(refs)  # one row of references, whatever the input
+        stats.withColumn("references", language_references(stats, rules).scalar())  # one value, whatever the input
         .withColumn("class_distance", F.coalesce(near("classes", "c"), F.lit(0.0)))
         .withColumn("word_distance", F.coalesce(near("commons", "w"), F.lit(0.0)))
         .withColumn("base_failed", failed)
