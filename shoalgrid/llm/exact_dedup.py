@@ -83,10 +83,11 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without its exact duplicates: unique rows pass unshuffled, of each group the row with the largest doc_id stays."""
-    many, unique = survivors(docs)
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    first = _hashed(many).groupBy(*_KEYS).agg(F.max_by(whole, F.struct(F.coalesce(F.col("doc_id").isNotNull(), F.lit(False)), F.col("doc_id"))).alias("row"))
-    return unique.select(*docs.columns).unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    # The row travels as one value, so that its columns' names can't clash with ours.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    many, unique = survivors(docs.select("doc_id", "text", whole))
+    first = _hashed(many).groupBy(*_KEYS).agg(F.max_by("whole", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("whole"))
+    return unique.select("whole").unionByName(first.select("whole")).select("whole.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

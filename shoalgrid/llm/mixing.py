@@ -110,8 +110,10 @@ def decisions(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """docs as mixed: each row as many times as the mix takes it."""
     _, per_source = plan(docs, how)
-    rows = sized(docs, how).join(per_source.select("_known", "_source", "_whole", "_cut"), ["_known", "_source"])
-    return rows.filter(_copies() > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select(*docs.columns)
+    # The row travels as one value, so that its columns' names can't clash with ours.
+    rows = sized(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), how)
+    rows = rows.join(per_source.select("_known", "_source", "_whole", "_cut"), ["_known", "_source"])
+    return rows.filter(_copies() > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

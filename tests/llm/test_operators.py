@@ -197,6 +197,27 @@ def test_keep_one_of_copies(spark, fixture_dir):
     assert Counter((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in kept) == Counter(want.items())
 
 
+def test_rows_pass_with_clashing_columns_unchanged(spark, fixture_dir):
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
+    for kept in (exact_dedup.keep_one(docs), mixing.mix(docs), quality_rules.accepted(docs), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns
+        assert kept.exceptAll(docs.union(docs)).count() == 0
+
+
+def test_shared_keys_are_found_and_few_others(spark):
+    docs = spark.createDataFrame([(i, f"text number {i % 900:04d}") for i in range(1000)], "doc_id long, text string")
+    many, unique = exact_dedup.survivors(docs)
+    assert {r["doc_id"] for r in many.collect()} >= {*range(100), *range(900, 1000)}
+    assert unique.columns == docs.columns and unique.count() > 790
+
+
+def test_added_spans_stay_clear_of_base_spans_and_each_other():
+    spans = [(0, 10, True), (5, 30, True), (20, 25, False), (30, 40, False), (35, 45, False), (40, 50, False), (60, 70, True), (50, 61, False)]
+    base, every = pii.resolve([{"kind": 0, "start": a, "end": b, "strict": s, "pattern": 1} for a, b, s in spans], frozenset([1]))
+    assert base == [(0, 0, 10), (0, 5, 30), (0, 60, 70)]
+    assert every == [(0, 0, 10), (0, 5, 30), (0, 30, 40), (0, 40, 50), (0, 60, 70)]
+
+
 def test_mix_takes_what_it_says(spark, fixture_dir):
     docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
     decided = run(spark, fixture_dir, "op2_mixing")
