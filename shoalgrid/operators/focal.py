@@ -146,10 +146,36 @@ def taps(n: int, p: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def resample(cells: DataFrame, value: str, axis: str, n: int, p: int) -> DataFrame:
-    """A raster resampled along one axis by a join with the table of taps (four rows an output cell along the axis, broadcast)."""
+def cardinal(t: float, reach: int = 20) -> float:
+    """The cubic spline through 1 at 0 and 0 at all other integers. Its B-spline coefficients fall by a constant ratio."""
+    ratio = math.sqrt(3) - 2
+    total = 0.0
+    for k in range(math.floor(t) - 1, math.floor(t) + 3):
+        u = abs(t - k)
+        bump = (4 - 6 * u * u + 3 * u**3) / 6 if u < 1 else max(0.0, 2 - u) ** 3 / 6
+        total += math.sqrt(3) * ratio ** abs(k) * bump
+    return total if abs(t) <= reach else 0.0
+
+
+def spline_taps(n: int, p: int, reach: int = 20) -> list[tuple[int, int, float]]:
+    """(out, source, weight) of the interpolating cubic spline, the raster mirrored at its edge cells. Beyond `reach` cells weights are below 1e-10."""
+    out = []
+    for i in range(p):
+        centre = (i + 0.5) * n / p - 0.5
+        found: dict[int, float] = {}
+        for k in range(math.floor(centre) - reach, math.floor(centre) + reach + 2):
+            turn = k % (2 * n - 2) if n > 1 else 0
+            source = min(turn, 2 * n - 2 - turn)
+            found[source] = found.get(source, 0.0) + cardinal(centre - k, reach + 1)
+        total = sum(found.values())
+        out += [(i, s, w / total) for s, w in sorted(found.items())]
+    return out
+
+
+def resample(cells: DataFrame, value: str, axis: str, n: int, p: int, kernel=taps) -> DataFrame:
+    """A raster resampled along one axis by a join with the table of taps (a fixed number an output cell along the axis, broadcast)."""
     other = "y" if axis == "x" else "x"
-    tap = cells.sparkSession.createDataFrame(taps(n, p), f"_out long, {axis} int, w double")
+    tap = cells.sparkSession.createDataFrame(kernel(n, p), f"_out long, {axis} int, w double")
     rows = cells.withColumn(axis, F.col(axis).cast("int")).join(F.broadcast(tap), axis)
     return rows.groupBy(F.col("_out").alias(axis), other).agg(F.sum(F.col("w") * F.col(value)).alias(value))
 

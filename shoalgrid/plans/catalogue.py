@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("series", "scenes", "waterline", "raster", "model")
+MODULES: tuple[str, ...] = ("series", "scenes", "waterline", "raster", "seams", "model")
 
 
 def _gather(kind: str) -> dict:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import scalars, tide
-from shoalgrid.operators import flow, grid, harmonic, series, stepfit
+from shoalgrid.operators import flow, focal, grid, harmonic, series, stepfit
 from shoalgrid.plans import catalogue, waterline
 from shoalgrid.sources import planes, tables
 from shoalgrid.streaming import accumulate
@@ -101,6 +101,23 @@ def test_tile_kernel_sees_the_halo(spark):
     assert all(r["v"] == want[r["x"] - 1, r["y"]] for r in shifted.filter("x > 0").collect())
 
 
+def test_spline_is_the_interpolating_one():
+    n, p = 12, 31
+    values = np.cos(np.arange(n)) + np.arange(n) / 5
+    system = np.eye(n) * 4 / 6 + (np.eye(n, k=1) + np.eye(n, k=-1)) / 6
+    system[0, 1] = system[-1, -2] = 2 / 6  # mirrored
+    c = np.linalg.solve(system, values)
+    weights = np.zeros((p, n))
+    for o, s, w in focal.spline_taps(n, p):
+        weights[o, s] = w
+    for o in range(p):
+        t, want = (o + 0.5) * n / p - 0.5, 0.0
+        for k in range(int(np.floor(t)) - 1, int(np.floor(t)) + 3):
+            u, at = abs(t - k), abs(k) if k < n else 2 * n - 2 - k
+            want += c[at] * ((4 - 6 * u * u + 3 * u**3) / 6 if u < 1 else max(0.0, 2 - u) ** 3 / 6)
+        assert abs(weights[o] @ values - want) < 1e-8
+
+
 def test_darts_are_the_greedy_choice(spark):
     rng = random.Random(4)
     points = [(i, rng.random() * 50, rng.random() * 50, rng.randrange(40)) for i in range(300)]
