@@ -11,6 +11,7 @@ from shoalgrid.session import table
 
 N = 30
 GRID = [(tau0, slope) for tau0 in (40, 60, 80) for slope in (0, 2, 4)]
+FINAL_GRID = [(tau0, slope) for tau0 in range(20, 81, 10) for slope in range(7)]
 BANDS = ((0, 750), (750, 1000), (1000, 1500), (1500, 2000), (2000, 9000))
 
 
@@ -94,13 +95,48 @@ def _grid_scores(spark, d):
     return stepfit.confusion(loo, ["tau0", "slope", "scene"], F.col("wet") == 1).withColumn("iou", F.round(stepfit.overlap(), 9))
 
 
+def _final_grid_scores(spark, d):
+    """The scores of FINAL_GRID over the whole stack. A pixel's lag bin follows from the pair and from pixel % 13, so pairs that share a bin share its fits;
+    counts are taken for each bin and residue and then added up for each pair."""
+    pairs = [(tau0, slope, m, int((tau0 + slope * m) / 5 + 0.5)) for tau0, slope in FINAL_GRID for m in range(13)]
+    dealt = spark.createDataFrame(pairs, "tau0 int, slope int, m int, bin int")
+    lagged = F.col("tide") * 10 - F.col("bin") * (F.col("p") % 3) * 40
+    orders = dealt.select("bin").distinct().crossJoin(tides(spark))
+    orders = orders.select("bin", F.col("p").alias("scene"), (F.row_number().over(Window.partitionBy("bin").orderBy(lagged, "p")) - 1).alias("p"))
+    obs = stack(spark, d).select("pixel", (F.col("pixel") % 13).cast("int").alias("m"), F.col("p").alias("scene"), "v", "w").repartition("pixel")
+    placed = dealt.select("m", "bin").distinct().join(orders, "bin")
+    rows = obs.join(F.broadcast(placed), ["m", "scene"]).select("bin", "m", "pixel", "p", "v", "w")
+    loo = stepfit.leave_one_out(rows, N, ("bin", "m", "pixel")).join(F.broadcast(orders), ["bin", "p"])
+    counts = stepfit.confusion(loo, ["bin", "m", "scene"], F.col("wet") == 1)
+    total = counts.join(F.broadcast(dealt), ["bin", "m"]).groupBy("tau0", "slope", "scene").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return total.withColumn("iou", F.round(stepfit.overlap(), 9))
+
+
+def _search(scores):
+    return scores.groupBy("tau0", "slope").agg(F.round(F.avg("iou"), 6).alias("iou"))
+
+
 def lag_grid_search(spark, d):
-    return _grid_scores(spark, d).groupBy("tau0", "slope").agg(F.round(F.avg("iou"), 6).alias("iou"))
+    """GRID on every eighth pixel, as its SQL has it; lag_grid_search_whole is the whole job."""
+    return _search(_grid_scores(spark, d))
+
+
+def lag_grid_search_whole(spark, d):
+    return _search(_final_grid_scores(spark, d))
 
 
 def nested_split_half(spark, d):
+    """GRID on every eighth pixel, as its SQL has it; nested_split_half_whole is the whole job."""
+    return _split_half(_grid_scores(spark, d))
+
+
+def nested_split_half_whole(spark, d):
+    return _split_half(_final_grid_scores(spark, d))
+
+
+def _split_half(scores):
     """The best pair on either half of the scenes, and its score on the other half."""
-    mean = _grid_scores(spark, d).groupBy("tau0", "slope", (F.col("scene") % 2).alias("half")).agg(F.round(F.avg("iou"), 6).alias("iou"))
+    mean = scores.groupBy("tau0", "slope", (F.col("scene") % 2).alias("half")).agg(F.round(F.avg("iou"), 6).alias("iou"))
     best = scenes.first_by(mean, ["half"], [F.col("iou").desc(), "tau0", "slope"]).select("tau0", "slope", (1 - F.col("half")).alias("half"), F.col("iou").alias("chosen"))
     return best.join(mean, ["tau0", "slope", "half"]).select("half", "tau0", "slope", "chosen", F.col("iou").alias("held_out"))
 
@@ -218,4 +254,4 @@ ORACLES = {
     "spectral_demote": f"with {_OBS}, {_CLS}, m as (select pixel, count(*) n, avg((pixel * 3 + p * 5) % 256) mean from obs join (select pixel, height from cls where cls = 128) using (pixel) where v = 1 and tide > height group by 1 having count(*) >= 3) select cls cls_before, case when cls = 128 and round(mean, 6) < 100 then 255 else cls end cls_after, count(*) n from cls left join m using (pixel) group by all",
     "threshold_rules": f"with {_OBS}, own as (select * from {_RULE_OTSU}), mid as (select threshold middle from (select threshold, row_number() over (order by threshold) - 1 i, count(*) over () n from own) where i = n // 2) select p, cast(sum(case when g > threshold then 1 else 0 end) as bigint) own, cast(sum(case when g > middle then 1 else 0 end) as bigint) middle, cast(sum(case when g > 128 then 1 else 0 end) as bigint) fixed from (select *, (pixel * 3 + p * 5) % 256 g from obs where v = 1) join own using (p), mid group by 1",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "lag_grid_search_whole", "nested_split_half_whole"]}
