@@ -13,6 +13,8 @@ from shoalgrid.shipping import ship
 
 #: Constituents whose amplitude is below this (m) are left out on a second fit.
 PRUNE = 0.005
+#: Start times whose turning points are searched at a time.
+SLICE = 256
 
 
 def _basis(speeds: list[float], t: str):
@@ -69,21 +71,29 @@ def slope_at(hours: np.ndarray) -> np.ndarray:
 
 
 def turning_points(starts: DataFrame, key: str, t: str, hours: float, step: float = 1 / 30, halvings: int = 40) -> DataFrame:
-    """key, kind (high, low) and at (hours) of the turning points within `hours` after t: a two-minute scan, then bisection, a batch of rows at a time."""
+    """key, kind (high, low) and at (hours) of the turning points within `hours` after t: a two-minute scan, then bisection. Start times that are equal in a
+    batch are searched once, SLICE of them at a time, so memory doesn't depend on the batch."""
+
+    def found(grid):
+        s = slope_at(grid.ravel()).reshape(grid.shape)
+        row, col = np.nonzero(((s[:, :-1] > 0) & (s[:, 1:] <= 0)) | ((s[:, :-1] < 0) & (s[:, 1:] >= 0)))
+        lo, hi, rising = grid[row, col], grid[row, col + 1], s[row, col] > 0
+        for _ in range(halvings):
+            mid = (lo + hi) / 2
+            same = (slope_at(mid) > 0) == rising
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid)
+        return row, np.where(rising, "high", "low"), (lo + hi) / 2
 
     def run(batches):
         import pandas as pd
 
+        after = np.arange(0, hours + step / 2, step)
         for pdf in batches:
-            grid = pdf[t].to_numpy()[:, None] + np.arange(0, hours + step / 2, step)[None, :]
-            s = slope_at(grid.ravel()).reshape(grid.shape)
-            row, col = np.nonzero(((s[:, :-1] > 0) & (s[:, 1:] <= 0)) | ((s[:, :-1] < 0) & (s[:, 1:] >= 0)))
-            lo, hi, rising = grid[row, col], grid[row, col + 1], s[row, col] > 0
-            for _ in range(halvings):
-                mid = (lo + hi) / 2
-                same = (slope_at(mid) > 0) == rising
-                lo, hi = np.where(same, mid, lo), np.where(same, hi, mid)
-            yield pd.DataFrame({key: pdf[key].to_numpy()[row], "kind": np.where(rising, "high", "low"), "at": (lo + hi) / 2})
+            starts, which = np.unique(pdf[t].to_numpy(), return_inverse=True)
+            for k in range(0, len(starts), SLICE):
+                row, kind, at = found(starts[k : k + SLICE, None] + after[None, :])
+                points = pd.DataFrame({"_start": row + k, "kind": kind, "at": at})
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "_start": which}).merge(points, on="_start")[[key, "kind", "at"]]
 
     ship(starts.sparkSession)
     return starts.select(F.col(key).cast("long").alias(key), F.col(t).cast("double").alias(t)).mapInPandas(run, f"{key} long, kind string, at double")

@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from shoalgrid.operators import harmonic
 from shoalgrid.plans import catalogue, waterline
+from shoalgrid.plans.series import _orders
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,16 @@ def test_lag_grid_takes_every_pixel_and_pair(spark):
         scores = {k: round(mean(*k, 1 - r["half"]), 6) for k in got}
         best = min(scores, key=lambda k: (-scores[k], k))
         assert (r["tau0"], r["slope"]) == best and r["held_out"] == pytest.approx(mean(*best, r["half"]), abs=2e-6)
+
+
+def test_turning_points_of_every_order(spark):
+    orders = {r["o_orderkey"]: r["h"] for r in _orders(spark, SF).collect()}
+    got = {}
+    for r in run(spark, "turning_points_refined"):
+        got.setdefault(r["o_orderkey"], []).append((r["at"], r["kind"]))
+    assert set(got) == set(orders)
+    assert max(abs(harmonic.slope_at([at for points in got.values() for at, _ in points]))) < 1e-9
+    for key, h in orders.items():
+        s = harmonic.slope_at(h + np.arange(0, 26 + 1 / 60, 1 / 30))
+        want = ["high" if a > 0 else "low" for a, b in zip(s[:-1], s[1:], strict=True) if (a > 0 >= b) or (a < 0 <= b)]
+        assert [kind for _, kind in sorted(got[key])] == want
