@@ -19,6 +19,12 @@ def _water(spark, d):
     return _cells(spark, d).filter("m = 1")
 
 
+def _height(spark, d):
+    """Rows of the whole raster."""
+    last = _raster(spark, d).agg(F.max("y")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def dilate(spark, d):
     return grid.dilate(_cells(spark, d).withColumn("m", (F.col("v") > 45).cast("int")), "m", 2).select("x", "y", "m")
 

@@ -9,6 +9,7 @@ from shoalgrid.plans import catalogue, waterline
 from shoalgrid.plans.series import _orders
 
 SF = "/root/testdata/sf0.001"
+LARGE = "/root/testdata/sf0.1"
 
 
 def run(spark, name, d=SF):
@@ -66,3 +67,12 @@ def test_turning_points_of_every_order(spark):
         s = harmonic.slope_at(h + np.arange(0, 26 + 1 / 60, 1 / 30))
         want = ["high" if a > 0 else "low" for a, b in zip(s[:-1], s[1:], strict=True) if (a > 0 >= b) or (a < 0 <= b)]
         assert [kind for _, kind in sorted(got[key])] == want
+
+
+def test_streamlines_from_every_supplier_over_the_whole_raster(spark):
+    got = run(spark, "streamlines", LARGE)
+    keys = pq.read_table(f"{LARGE}/supplier.parquet", columns=["s_suppkey"])["s_suppkey"].to_pylist()
+    height = max(pq.read_table(f"{LARGE}/part.parquet", columns=["p_partkey"])["p_partkey"].to_pylist()) // 50 + 1
+    assert {(r["s_suppkey"], r["x"], r["y"]) for r in got if r["i"] == 0} == {(k, k * 7 % 49, k * 3 % (height - 1)) for k in keys}
+    moved = {int(r["y"]) // 50 for r in got if abs(r["i"]) > 1}
+    assert moved >= set(range(height // 50))
