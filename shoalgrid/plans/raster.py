@@ -148,6 +148,25 @@ def mitchell(spark, d):
     return focal.resample(focal.resample(c, "v", "x", 50, 80), "v", "y", 40, 64).select("x", "y", F.round("v", 6).alias("v"))
 
 
+def nearest_resize_whole(spark, d):
+    """nearest_resize over all rows; its SQL, like those of bilinear and mitchell, is of a raster of 40 rows."""
+    height = _height(spark, d)
+    return focal.nearest(_cells(spark, d), "v", (50, height), (33, max(1, height * 17 // 40)))
+
+
+def bilinear_whole(spark, d):
+    """Every supplier's point, all of them within the raster."""
+    height = _height(spark, d)
+    s = F.col("s_suppkey")
+    points = table(spark, d, "supplier").select("s_suppkey", (s * F.lit(0.49) % 49).alias("px"), (s * 7 % max(1, height - 1) + F.lit(0.25)).alias("py"))
+    return focal.bilinear(points, _cells(spark, d), "v", "s_suppkey", (50, height)).withColumn("v", F.round("v", 6))
+
+
+def mitchell_whole(spark, d):
+    height = _height(spark, d)
+    return focal.resample(focal.resample(_cells(spark, d), "v", "x", 50, 80), "v", "y", height, height * 8 // 5).select("x", "y", F.round("v", 6).alias("v"))
+
+
 def priority_mosaic(spark, d):
     v, k = F.col("v"), F.col("x") + F.col("y") * 50
     base = F.when(k % 11 != 0, v)
@@ -292,4 +311,4 @@ e as (select *, case when k % 5 >= 2 then e1 when e1 is null then v * 2 else e1
     "nearest_confidence": "with p as (select c_custkey, (c_custkey % 97 * 10)::double px, (c_custkey * 13 % 89 * 10)::double py from customer), t as (select (s_suppkey * 31 % 900)::double tx, (s_suppkey * 17 % 700)::double ty from supplier) select c_custkey, round(case when min(pow(px - tx, 2) + pow(py - ty, 2)) <= 75 * 75 then exp(-min(pow(px - tx, 2) + pow(py - ty, 2)) / 625) else 0 end, 6) confidence from p, t group by 1",
     "nearest_fill": f"with {_A} select g.x, g.y, n.v from (select * from a where (x * 7 + y * 3) % 3 = 0) g join (select * from a where (x * 7 + y * 3) % 3 <> 0) n on abs(n.x - g.x) <= 2 and abs(n.y - g.y) <= 2 qualify row_number() over (partition by g.x, g.y order by (n.x - g.x) * (n.x - g.x) + (n.y - g.y) * (n.y - g.y), n.y, n.x) = 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "geodesic"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "geodesic", "nearest_resize_whole", "bilinear_whole", "mitchell_whole"]}

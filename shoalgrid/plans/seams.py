@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import focal, seams
-from shoalgrid.plans.raster import _A, _B, _cells, _sql_at, _sql_separable
+from shoalgrid.plans.raster import _A, _B, _cells, _height, _sql_at, _sql_separable
 from shoalgrid.session import table
 
 
@@ -29,6 +29,15 @@ def transect(spark, d):
     return seams.transect(lines, _cells(spark, d).filter("y < 20"), "v", "s_suppkey", 17, (50, 20))
 
 
+def transect_whole(spark, d):
+    """transect over all rows (its SQL is of 20), with lines spread over them; some ends lie beyond the raster."""
+    height = _height(spark, d)
+    s = F.col("s_suppkey")
+    ends = {"x0": s % 50, "y0": s * 7 % (height + 1), "x1": s * 3 % 53, "y1": s * 11 % max(1, height - 3)}
+    lines = table(spark, d, "supplier").select("s_suppkey", *[c.cast("double").alias(k) for k, c in ends.items()])
+    return seams.transect(lines, _cells(spark, d), "v", "s_suppkey", 17, (50, height))
+
+
 def image_difference(spark, d):
     c = _cells(spark, d)
     found = seams.changed(c, c.withColumn("v", (F.col("v") * 13 + F.col("x")) % 51), "v", 6)
@@ -46,6 +55,14 @@ def spline_resample(spark, d):
     return focal.resample(c, "v", "y", 20, 33, focal.spline_taps).select("x", "y", F.round("v", 6).alias("v"))
 
 
+def spline_resample_whole(spark, d):
+    """spline_resample over all rows; its SQL is of 20."""
+    height = _height(spark, d)
+    c = focal.separable(_cells(spark, d).select("x", "y", "v"), "v", focal.gaussian(0.75))
+    c = focal.resample(c, "v", "x", 50, 80, focal.spline_taps)
+    return focal.resample(c, "v", "y", height, height * 33 // 20, focal.spline_taps).select("x", "y", F.round("v", 6).alias("v"))
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
 _SLOPES = f"g as (select x, y, v, greatest(abs({_sql_at('x', 1)} - v) + abs({_sql_at('y', 1)} - v), 0.0008::double) s from a)"
@@ -70,4 +87,4 @@ b as {_sql_separable('c', focal.gaussian(1.5))} select x, y, cast({_BYTE('v * co
     "shoal_skirt": _sql_skirt(),
     "spline_resample": f"with {_B}, f as (select x, y, v from a where y < 20), s as {_sql_separable('f', focal.gaussian(0.75))}, tx as (select * from (values {_SPLINE(50, 80)}) v(o, s, w)), ty as (select * from (values {_SPLINE(20, 33)}) v(o, s, w)), h as (select tx.o x, s.y, sum(w * v) v from s join tx on s.x = tx.s group by 1, 2) select cast(x as bigint) x, cast(ty.o as bigint) y, round(sum(w * v), 6) v from h join ty on h.y = ty.s group by 1, 2",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "transect_whole", "spline_resample_whole"]}

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from shoalgrid.operators import harmonic
+from shoalgrid.operators import focal, harmonic
 from shoalgrid.plans import catalogue, waterline
 from shoalgrid.plans.series import _orders
 
@@ -76,3 +76,72 @@ def test_streamlines_from_every_supplier_over_the_whole_raster(spark):
     assert {(r["s_suppkey"], r["x"], r["y"]) for r in got if r["i"] == 0} == {(k, k * 7 % 49, k * 3 % (height - 1)) for k in keys}
     moved = {int(r["y"]) // 50 for r in got if abs(r["i"]) > 1}
     assert moved >= set(range(height // 50))
+
+
+def _raster_by_hand(d):
+    """{(x, y): value}, rows and supplier keys."""
+    part = pq.read_table(f"{d}/part.parquet", columns=["p_partkey", "p_size"]).to_pylist()
+    cells = {(r["p_partkey"] % 50, r["p_partkey"] // 50): float(r["p_size"]) for r in part}
+    return cells, max(y for _, y in cells) + 1, pq.read_table(f"{d}/supplier.parquet", columns=["s_suppkey"])["s_suppkey"].to_pylist()
+
+
+def test_resampling_takes_the_whole_raster(spark):
+    cells, height, keys = _raster_by_hand(LARGE)
+    down = height * 17 // 40
+    want = {(x, y): cells[at] for x in range(33) for y in range(down) if (at := (x * 50 // 33, y * height // down)) in cells}
+    assert {(r["x"], r["y"]): r["v"] for r in run(spark, "nearest_resize_whole", LARGE)} == want
+
+    got = {r["s_suppkey"]: r["v"] for r in run(spark, "bilinear_whole", LARGE)}
+    assert set(got) == set(keys)
+    for k in keys:
+        px, py = k * 0.49 % 49, k * 7 % (height - 1) + 0.25
+        x, y = int(px), int(py)
+        sum_ = sum(cells.get((min(x + i, 49), min(y + j, height - 1)), 0.0) * (px - x if i else 1 - px + x) * (py - y if j else 1 - py + y) for i in (0, 1) for j in (0, 1))
+        assert got[k] == pytest.approx(sum_, abs=2e-6)
+
+    a = np.zeros((height, 50))
+    for (x, y), v in cells.items():
+        a[y, x] = v
+    dense = lambda taps, n, p: np.array([sum(w * (np.arange(n) == s) for _, s, w in taps[i * 4 : i * 4 + 4]) for i in range(p)])
+    p = height * 8 // 5
+    want = dense(focal.taps(height, p), height, p) @ a @ dense(focal.taps(50, 80), 50, 80).T
+    got = run(spark, "mitchell_whole", LARGE)
+    assert len(got) == 80 * p and all(abs(want[r["y"], r["x"]] - r["v"]) < 2e-6 for r in got)
+
+
+def test_transects_take_the_whole_raster(spark):
+    cells, height, keys = _raster_by_hand(LARGE)
+    want = {}
+    for s in keys:
+        x0, y0, x1, y1 = s % 50, s * 7 % (height + 1), s * 3 % 53, s * 11 % (height - 3)
+        for k in range(17):
+            at = tuple(int(min(max(np.floor(a + (b - a) * (k / 16)), 0), m - 1)) for a, b, m in ((x0, x1, 50), (y0, y1, height)))
+            if at in cells:
+                want[s, k] = cells[at]
+    assert {(r["s_suppkey"], r["k"]): r["v"] for r in run(spark, "transect_whole", LARGE)} == want
+
+
+def test_splines_take_the_whole_raster(spark):
+    """Against the same smoothing and taps applied to an array; the last row, of one cell, mixes into the rows near it and is left out with them."""
+    cells, height, _ = _raster_by_hand(LARGE)
+    p, inner = height * 33 // 20, height - 30
+    a = np.full((height, 50), np.nan)
+    for (x, y), v in cells.items():
+        a[y, x] = v
+    weights = focal.gaussian(0.75)
+    r = len(weights) // 2
+    for axis in (1, 0):
+        n = a.shape[axis]
+        a = sum(w * np.take(a, np.clip(np.arange(n) + k - r, 0, n - 1), axis) for k, w in enumerate(weights))
+
+    def matrix(n, m):
+        out = np.zeros((m, n))
+        for o, s, w in focal.spline_taps(n, m):
+            out[o, s] += w
+        return out
+
+    want = matrix(height, p) @ np.nan_to_num(a) @ matrix(50, 80).T
+    got = {(q["x"], q["y"]): q["v"] for q in run(spark, "spline_resample_whole", LARGE)}
+    assert len(got) == 80 * p
+    rows = [y for y in range(p) if 30 < (y + 0.5) * height / p < inner]
+    assert all(abs(got[x, y] - want[y, x]) < 2e-6 for y in rows for x in range(80))
