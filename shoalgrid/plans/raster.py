@@ -196,6 +196,11 @@ def line_raster(spark, d):
     return focal.rasterise_lines(_lines(spark, d).filter("line < 40"), 0.75, (F.col("line") % 9).cast("double"))
 
 
+def line_raster_whole(spark, d):
+    """line_raster of all lines; its SQL is of those under 40."""
+    return focal.rasterise_lines(_lines(spark, d), 0.75, (F.col("line") % 9).cast("double"))
+
+
 def arc_lamps(spark, d):
     return focal.lamps(_lines(spark, d), "line", "i", 2.7, 0.4).select("line", "k", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
@@ -311,4 +316,4 @@ e as (select *, case when k % 5 >= 2 then e1 when e1 is null then v * 2 else e1
     "nearest_confidence": "with p as (select c_custkey, (c_custkey % 97 * 10)::double px, (c_custkey * 13 % 89 * 10)::double py from customer), t as (select (s_suppkey * 31 % 900)::double tx, (s_suppkey * 17 % 700)::double ty from supplier) select c_custkey, round(case when min(pow(px - tx, 2) + pow(py - ty, 2)) <= 75 * 75 then exp(-min(pow(px - tx, 2) + pow(py - ty, 2)) / 625) else 0 end, 6) confidence from p, t group by 1",
     "nearest_fill": f"with {_A} select g.x, g.y, n.v from (select * from a where (x * 7 + y * 3) % 3 = 0) g join (select * from a where (x * 7 + y * 3) % 3 <> 0) n on abs(n.x - g.x) <= 2 and abs(n.y - g.y) <= 2 qualify row_number() over (partition by g.x, g.y order by (n.x - g.x) * (n.x - g.x) + (n.y - g.y) * (n.y - g.y), n.y, n.x) = 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "geodesic", "nearest_resize_whole", "bilinear_whole", "mitchell_whole"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "geodesic", "nearest_resize_whole", "bilinear_whole", "mitchell_whole", "line_raster_whole"]}

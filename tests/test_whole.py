@@ -145,3 +145,17 @@ def test_splines_take_the_whole_raster(spark):
     assert len(got) == 80 * p
     rows = [y for y in range(p) if 30 < (y + 0.5) * height / p < inner]
     assert all(abs(got[x, y] - want[y, x]) < 2e-6 for y in rows for x in range(80))
+
+
+def test_all_lines_are_rasterised(spark):
+    _, _, keys = _raster_by_hand(LARGE)
+    want = {}
+    px, py = np.meshgrid(np.arange(-2, 80), np.arange(-2, 80))
+    for line in keys:
+        v = [(line * 3 % 47 + i * 5, line * 11 % 31 + i * i * 3) for i in range(4)]
+        for (x1, y1), (x2, y2) in zip(v[:-1], v[1:], strict=True):
+            dx, dy = x2 - x1, y2 - y1
+            t = np.clip(((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy), 0, 1)
+            for x, y in np.argwhere((np.hypot(px - x1 - t * dx, py - y1 - t * dy) <= 0.75).T) - 2:
+                want[x, y] = max(want.get((x, y), 0.0), float(line % 9))
+    assert {(r["x"], r["y"]): r["weight"] for r in run(spark, "line_raster_whole", LARGE)} == want
