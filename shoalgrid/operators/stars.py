@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalgrid.lineage import cut
+from shoalgrid.lineage import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(now)
     while seen[0]:
-        now = cut(_star(_star(now, True), False), "edges")
+        before, now = now, cut(_star(_star(now, True), False), "edges")
+        drop(before)
         if (found := mark(now)) == seen:
             break
         seen = found
