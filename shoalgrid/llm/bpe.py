@@ -13,7 +13,8 @@ The tokenizer file is a parameter. Supported: BPE without dropout, unknown token
 suffix; added tokens that are special and not normalised are found in the raw text first. A file that asks for more is refused.
 
 Defined cases: a null text is empty, with no tokens and an empty decoded text; repeated rows are encoded each for itself; very long texts and pieces cost in
-proportion to their length times the longest token; extra columns pass through encode_documents(); an empty table gives an empty result.
+proportion to their length times the longest token; of two equal merges the left one goes first; extra columns, also of clashing names, pass through encode_documents(), where new
+columns take the place of old ones with their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -219,8 +220,7 @@ def _encode(path: str | None, output: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path or vocabulary_path())
         for batch in batches:
-            rest = [n for n in batch.schema.names if n != "_text"]
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             done = []
             for at in range(0, len(texts), 256):
                 for n, ids, decoded in bpe.encode_batch(texts[at : at + 256]):
@@ -230,25 +230,30 @@ def _encode(path: str | None, output: str):
                         done.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             kind = pa.list_(pa.int32()) if output == "ids" else pa.string()
             columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], kind), pa.array([d[2] for d in done], pa.string())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], *columns], [*rest, "_n", "_a", "_b"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n", "a", "b"])
         bpe.known = {}  # an idle worker keeps none
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, output: str = "ids") -> DataFrame:
-    """docs with n_tokens and, for output "ids", token_ids and decoded; for "digests", ids_sha256 and decoded_sha256. New columns replace old ones of their names."""
-    arrow_batches(docs.sparkSession, megabytes=8)
+def encode_rows(rows: DataFrame, path: str | None = None, output: str = "ids") -> DataFrame:
+    """The fields of row (a struct) with n_tokens and, for output "ids", token_ids and decoded; for "digests", ids_sha256 and decoded_sha256. rows: row and text."""
+    arrow_batches(rows.sparkSession, megabytes=8)
     names = {"ids": ("token_ids", "decoded"), "digests": ("ids_sha256", "decoded_sha256")}[output]
-    kept = docs.drop("n_tokens", *names)
     kind = T.ArrayType(T.IntegerType()) if output == "ids" else T.StringType()
-    schema = T.StructType([*kept.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_a", kind), T.StructField("_b", T.StringType())])
-    out = kept.withColumn("_text", F.col("text")).mapInArrow(_encode(path, output), schema)
-    return out.withColumnsRenamed({"_n": "n_tokens", "_a": names[0], "_b": names[1]})
+    schema = T.StructType([rows.schema["row"], T.StructField("n", T.LongType()), T.StructField("a", kind), T.StructField("b", T.StringType())])
+    out = rows.select("row", "text").mapInArrow(_encode(path, output), schema)
+    return out.select("row.*", F.col("n").alias("n_tokens"), F.col("a").alias(names[0]), F.col("b").alias(names[1]))
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, output: str = "ids") -> DataFrame:
+    """docs with the columns of encode_rows(), which replace old ones of their names. The row travels as one value, so that its columns' names can't clash with ours."""
+    new = ("n_tokens", "token_ids", "decoded") if output == "ids" else ("n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_rows(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("row"), F.col("text")), path, output)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), output="digests").drop("text")
+    return encode_rows(table(spark, sf_dir, "documents").select(F.struct("doc_id").alias("row"), "text"), output="digests")
 
 
 QUERIES = {"op5_bpe": op5_bpe}

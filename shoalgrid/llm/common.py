@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from shoalgrid.shipping import ship
 
 #: Words are maximal runs without a space or a character from tab to carriage return.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
+#: Parts that packed rows are dealt to at once.
+COARSE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +58,16 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     ship(spark)
 
 
-def task_keys(spark: SparkSession, parts: int) -> list[int]:
-    """For each task of repartition(parts, key) an integer key that goes to it, so that packed rows can be dealt out evenly."""
-    width = 32
-    while True:
-        ids = spark.range(parts * width).select(F.col("id").cast("int").alias("id"))
-        found = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
-        if len(found) == parts:
-            return [row["id"] for row in sorted(found)]
-        width *= 2
+def share_out(rows: DataFrame, parts: int, refine: Callable | None = None, coarse: int = COARSE) -> DataFrame:
+    """rows (part, packed ...) at the task that their part names, of `parts` tasks.
+
+    Rows are packed by part, so with very many parts they would be many and small, their number growing with the square of the input. Beyond `coarse` parts rows come packed
+    for groups of parts (see groups_of) instead; those of a group meet in a task, refine packs them anew for each part, from far more entries, and they move on."""
+    if parts <= coarse:
+        return rows.repartitionById(parts, "part")
+    return rows.repartitionById(-(-parts // groups_of(parts, coarse)), "part").mapInArrow(refine, rows.schema).repartitionById(parts, "part")
+
+
+def groups_of(parts: int, coarse: int = COARSE) -> int:
+    """How many parts rows are first packed for together: 1 up to `coarse` parts."""
+    return -(-parts // coarse)

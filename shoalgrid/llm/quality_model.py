@@ -6,7 +6,8 @@ so one aggregate of fixed size goes to the driver. A score is the logistic of th
 density's Mahalanobis distance comes from the inverse Cholesky factor, computed once and sent with the tasks.
 
 Defined cases: an empty or null text has all statistics 0 and is scored like any other; without labels of both classes every score is the share of
-label 1 (0.5 without labels); repeated rows are scored each for itself; extra columns are ignored; an empty table gives an empty result.
+label 1 (0.5 without labels); repeated rows are scored each for itself, and a doc_id with several labels counts as 1 if any is 1; very long texts are read whole and their statistics cut off at CLIP
+deviations; a score can't tie with the threshold but by equal statistics; extra columns, also of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,11 +2,14 @@
 
 Every document gets two histograms: character classes, and common words. Each is compared with the same histogram of
 every language's reference (all its documents that pass the base rules and hold few symbols, pooled) by the Jensen-Shannon distance, base 2, and the nearest
-language counts, so that a wrong or missing language tag doesn't matter. Documents shorter than the guards get no verdict
-from that histogram, as short texts are far from any reference by chance.
+language counts, so that a wrong tag among them or a missing one doesn't matter. Documents shorter than the guards get no verdict
+from that histogram, as short texts are far from any reference by chance; nor do documents tagged with a language that has no reference.
 
-Defined cases: a null text has no words; null, unknown or clashing columns beside doc_id, text and lang are carried or
-ignored; repeated rows are judged each for itself; an empty table gives an empty result.
+References come from the table that is judged unless they are given: language_references() of one table can be kept and used for all others, so that a document's verdict doesn't depend on
+its neighbours. A table without any document of a known language has one reference, pooled from all its documents.
+
+Defined cases: a null text has no words; a null language tag is compared with all references; of references that are equally near either gives the same distance; very long texts are read whole; null, unknown or clashing columns
+beside doc_id, text and lang are carried or ignored; repeated rows are judged each for itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ COMMON_WORDS = {
 }
 VOCABULARY = tuple(dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws))
 LANGUAGES = tuple(COMMON_WORDS)
+#: The reference of a table without documents of these languages.
+ANY = "*"
 
 
 @dataclass(frozen=True)
@@ -113,10 +118,10 @@ def base_failed(rules: Rules) -> Column:
 
 
 def language_references(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row: for each of the LANGUAGES that the table has, its pooled histograms as shares. At most len(LANGUAGES) entries."""
+    """One row: for each of the LANGUAGES that the table has, its pooled histograms as shares; ANY's where it has none. At most len(LANGUAGES) entries."""
     size = len(CLASSES) + 2, len(VOCABULARY) + 1
     few = F.lit(100) * F.col("n_symbols") <= F.lit(rules.max_reference_symbols) * F.col("n_words")
-    known = stats.filter(F.col("lang").isin(*LANGUAGES) & ~base_failed(rules) & few)
+    known = stats.filter(~base_failed(rules) & few).withColumn("lang", F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(ANY))
     sums = [F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(size[0])] + [F.sum(F.col("commons")[k]).alias(f"w{k}") for k in range(size[1])]
     shares = lambda a: let(F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
     pooled = known.groupBy("lang").agg(*sums).select(
@@ -124,7 +129,8 @@ def language_references(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
         shares(F.array(*[f"c{k}" for k in range(size[0])])).alias("c"),
         shares(F.array(*[f"w{k}" for k in range(size[1])])).alias("w"),
     )
-    return pooled.agg(F.sort_array(F.collect_list(F.struct("lang", "c", "w"))).alias("references"))
+    every = F.sort_array(F.collect_list(F.struct("lang", "c", "w")))
+    return pooled.agg(let(every, lambda a: F.when(F.size(a) > 1, F.filter(a, lambda r: r["lang"] != ANY)).otherwise(a)).alias("references"))
 
 
 def jensen_shannon(counts: Column, shares: Column) -> Column:
@@ -139,27 +145,28 @@ def jensen_shannon(counts: Column, shares: Column) -> Column:
     return let(total, lambda n: F.when(n > 0, distance(n)).otherwise(F.lit(0.0)))
 
 
-def judged(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
-    """doc_id, the base counts, both distances to the nearest reference and the verdict (with carry, also row); one row per row of docs."""
+def judged(docs: DataFrame, rules: Rules = Rules(), carry: bool = False, references: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, both distances to the nearest reference and the verdict (with carry, also row); one row per row of docs. references: see language_references()."""
     stats = materialize(document_statistics(docs, rules, carry), "quality-statistics")
     near = lambda h, k: F.array_min(F.transform("references", lambda r: jensen_shannon(F.col(h), r[k])))
     n, chars = F.col("n_words"), F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     failed = base_failed(rules)
+    comparable = F.col("lang").isNull() | F.exists("references", lambda r: r["lang"].isin(ANY) | (r["lang"] == F.col("lang")))
     far_classes = (chars >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance)
     far_words = (n >= rules.min_common_base) & (F.col("word_distance") > rules.max_word_distance)
     return (
-        stats.withColumn("references", language_references(stats, rules).scalar())  # one value, whatever the input
+        stats.withColumn("references", (references or language_references(stats, rules)).scalar())  # one value, whatever the input
         .withColumn("class_distance", F.coalesce(near("classes", "c"), F.lit(0.0)))
         .withColumn("word_distance", F.coalesce(near("commons", "w"), F.lit(0.0)))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~(failed | far_classes | far_words))
+        .withColumn("kept", ~(failed | (comparable & (far_classes | far_words))))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), *["row"] * carry)
     )
 
 
-def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def accepted(docs: DataFrame, rules: Rules = Rules(), references: DataFrame | None = None) -> DataFrame:
     """docs without the documents that the rules reject."""
-    return judged(docs, rules, carry=True).filter("kept").select("row.*")
+    return judged(docs, rules, True, references).filter("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,15 +196,16 @@ base as (select rid, doc_id, lang, cast(n_words as bigint) n_words, cast(length(
   cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words, length(t) n_chars
   from (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l from b) left join rep using (rid)),
 f as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words base_failed from base),
-ref0 as (select lang, kind, k, sum(n) n from h join f using (rid) where lang in ({", ".join(map(quote, LANGUAGES))}) and not base_failed and 100 * n_symbols <= {rules.max_reference_symbols} * n_words group by all),
-ref as (select lang, kind, k, coalesce(n / nullif(cast(sum(n) over (partition by lang, kind) as double), 0), 0) q from ref0),
+ref0 as (select case when lang in ({", ".join(map(quote, LANGUAGES))}) then lang else '{ANY}' end lang, kind, k, sum(n) n from h join f using (rid) where not base_failed and 100 * n_symbols <= {rules.max_reference_symbols} * n_words group by all),
+ref1 as (select * from ref0 where lang <> '{ANY}' or not exists (select 1 from ref0 where lang <> '{ANY}')),
+ref as (select lang, kind, k, coalesce(n / nullif(cast(sum(n) over (partition by lang, kind) as double), 0), 0) q from ref1),
 p as (select kind, rid, k, n / cast(sum(n) over (partition by kind, rid) as double) p, sum(n) over (partition by kind, rid) total from h),
 js as (select rid, kind, lang, sqrt(greatest(0, sum(((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))) d
   from p join ref using (kind, k) where total > 0 group by all),
 near as (select rid, kind, min(d) d from js group by all),
 j as (select f.*, coalesce(c.d, 0) class_distance, coalesce(v.d, 0) word_distance from f left join near c on c.rid = f.rid and c.kind = 'c' left join near v on v.rid = f.rid and v.kind = 'w')
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or (n_chars >= {rules.min_chars} and class_distance > {rules.max_class_distance}) or (n_words >= {rules.min_common_base} and word_distance > {rules.max_word_distance})) kept,
+  not (base_failed or (lang is null or lang in (select lang from ref) or '{ANY}' in (select lang from ref)) and ((n_chars >= {rules.min_chars} and class_distance > {rules.max_class_distance}) or (n_words >= {rules.min_common_base} and word_distance > {rules.max_word_distance}))) kept,
   round(class_distance, 6) class_distance, round(word_distance, 6) word_distance from j
 """
 

@@ -8,13 +8,14 @@ each links to the smallest of them only: no link between components is lost and
 a variant, not n squared. The edges are deduplicated and verified, then components follow by star contraction.
 
 The variants of all fingerprints are many times the fingerprints, so they are made in PASSES slices of the variant space, one job each;
-only one slice is on disk at a time. The number of shuffle parts follows from the number of fingerprints, so a task's memory is bounded.
+only one slice is on disk at a time. The number of shuffle parts follows from the number of fingerprints, so a task's memory is bounded; beyond a few thousand
+parts variants are dealt out in two steps, so that packed rows stay large and their number in proportion to the input.
 
 Copies share a fingerprint and are one row from the start, so a hot group costs nothing.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; a component's id is
-its smallest doc_id that is not null; documents are known by doc_id, so rows that repeat one share its fate in keep_one(); extra columns pass
-through; an empty table gives an empty result.
+its smallest doc_id that is not null; ties can't change that; documents are known by doc_id, so rows that repeat one share its fate in keep_one(); very long texts are read whole, a chunk of
+shingles at a time; extra columns, also of clashing names, pass through keep_one(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.lineage import scratch_path
-from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, table, task_keys
+from shoalgrid.llm.common import COARSE, arrow_batches, groups_of, materialize, partitions, release, share_out, table
 from shoalgrid.operators.stars import components
 
 SHINGLE = 4
@@ -82,25 +83,61 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], np.uint64)
 
 
-def _emit(step: int, passes: int, keys: list[int], radius: int):
-    parts = len(keys)
+def _part(spread: np.ndarray, passes: int, parts: int) -> np.ndarray:
+    return (spread >> np.uint64(32)).astype(np.uint32) // np.uint32(passes) % np.uint32(parts)
+
+
+def _packed(spread: np.ndarray, which: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that gets something: its variants, then which difference made each."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    spread, which, part = spread[order], which[order], part[order]
+    ids, first = np.unique(part, return_index=True)
+    ends = [*first[1:].tolist(), len(part)]
+    packed = [spread[a:b].tobytes() + which[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
+def _emit(step: int, passes: int, parts: int, radius: int, coarse: int):
+    together = np.uint32(groups_of(parts, coarse))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball, key = masks(radius // 2), np.array(keys, np.int32)
+        ball = masks(radius // 2)
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(every), BLOCK):
-                fps = every[at : at + BLOCK]
-                spread = (fps[:, None] ^ ball[None, :]) * _SPREAD
-                high = (spread >> np.uint64(32)).astype(np.uint32)
-                row, col = np.nonzero(high % np.uint32(passes) == step)
-                spread, part = spread[row, col], high[row, col] // np.uint32(passes) % np.uint32(parts)
-                order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-                spread, which, part = spread[order], col[order].astype(np.uint16), part[order]
-                ids, first = np.unique(part, return_index=True)
-                ends = [*first[1:].tolist(), len(part)]
-                packed = [spread[a:b].tobytes() + which[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[ids]), pa.array(packed, pa.binary())], ["part", "packed"])
+                spread = (every[at : at + BLOCK, None] ^ ball[None, :]) * _SPREAD
+                row, col = np.nonzero((spread >> np.uint64(32)).astype(np.uint32) % np.uint32(passes) == step)
+                spread = spread[row, col]
+                yield _packed(spread, col.astype(np.uint16), _part(spread, passes, parts) // together)
+
+    return run
+
+
+def _unpacked(buffers: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [x.size // 10 for x in buffers]
+    spread = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(buffers, sizes, strict=True)])
+    return spread, np.concatenate([np.frombuffer(x, np.uint16, n, 8 * n) for x, n in zip(buffers, sizes, strict=True)])
+
+
+def _refine(passes: int, parts: int):
+    """Variants of a group of parts, packed anew for each part, from up to TASK_VARIANTS at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            spread, which = _unpacked(held)
+            return _packed(spread, which, _part(spread, passes, parts))
+
+        for batch in batches:
+            for x in batch.column("packed"):
+                held.append(pa.py_buffer(x.as_buffer().to_pybytes()))
+                size += held[-1].size // 10
+                if size >= TASK_VARIANTS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
@@ -137,16 +174,16 @@ def _meet(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, passes: int = PASSES) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, passes: int = PASSES, parts: int | None = None, coarse: int = COARSE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints: within radius bits each, and connecting all that are. distinct: a materialised table of fp."""
     spark = distinct.sparkSession
     n, size = distinct.count(), len(masks(radius // 2))
-    parts = max(partitions(spark), -(-n * size // passes // TASK_VARIANTS))
-    keys, path = task_keys(spark, parts), scratch_path(spark, "simhash-links")
+    parts = parts or max(partitions(spark), -(-n * size // passes // TASK_VARIANTS))
+    path = scratch_path(spark, "simhash-links")
     tasks = max(1, min(parts, -(-n // BLOCK)))
     for step in range(passes):
-        spread = distinct.select("fp").repartition(tasks).mapInArrow(_emit(step, passes, keys, radius), "part int, packed binary")
-        spread.repartition(parts, "part").mapInArrow(_meet(radius), "a long, b long").distinct().write.parquet(f"{path}/{step}")
+        spread = distinct.select("fp").repartition(tasks).mapInArrow(_emit(step, passes, parts, radius, coarse), "part int, packed binary")
+        share_out(spread, parts, _refine(passes, parts), coarse).mapInArrow(_meet(radius), "a long, b long").distinct().write.parquet(f"{path}/{step}")
         del spread
         release(spark)
     return spark.read.schema("a long, b long").parquet(*[f"{path}/{step}" for step in range(passes)])
@@ -166,8 +203,10 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the one whose doc_id names the group."""
-    stays = near_groups(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    stays = near_groups(docs.select("doc_id", "text"), radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    # The row travels as one value, so that its columns' names can't clash with ours.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(stays, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

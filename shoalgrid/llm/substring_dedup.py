@@ -6,21 +6,24 @@
    each is hit by the other. Index and probes meet by hash, counted within each block first: a passage that
    is in every document costs one entry a block, not one a document.
 3. Hits are extended: only windows around a hit are candidates; their full 127-bit hashes are counted over all documents (again within
-   each block first), and runs of windows found twice are the maximal exact repeats. No pairs of documents are made, so a passage
+   each block first), and runs of windows found twice are the maximal exact repeats (the two halves of a hash come from independent hashes of each word). No pairs of documents are made, so a passage
    shared by n documents costs n, not n squared.
 4. Each block gets its repeated windows back and drops the words they cover.
 
 What is shuffled is packed arrays, a row per block and task; the number of tasks follows from the number of words. What a task answers is
-one bit for each entry that a block sent, in the order sent: the block, whose text is unchanged, makes the same entries again.
+one bit for each entry that a block sent, in the order sent: the block, whose text is unchanged, makes the same entries again. Beyond a few thousand tasks entries first go to groups of tasks,
+where those of many blocks are merged into super-blocks that ask in their place: so rows stay large, their number in proportion to the input, and a passage that
+is in every block is one entry a super-block.
 
 Defined cases: null and empty texts have no words; a text shorter than WINDOW loses nothing; all texts are judged on the input, so all occurrences
-of a repeat go, the first included; repeated rows are documents of their own and so remove each other's windows; extra columns are ignored;
-an empty table gives an empty result.
+of a repeat go, the first included, and there are no ties to break; repeated rows are documents of their own and so remove each other's windows; a very long text is a block of its own;
+extra columns, also of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.common import arrow_batches, materialize, partitions, release, table, task_keys
+from shoalgrid.llm.common import COARSE, arrow_batches, groups_of, materialize, partitions, release, table
 
 WINDOW = 35
 BLOCK_BYTES = 3 << 19
@@ -55,15 +58,16 @@ def rolling(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 class Block:
-    """The words of a block's documents as one array of hashes."""
+    """The words of a block's documents as two arrays of independent hashes."""
 
     def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        digest = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((digest(w) for ws in self.words for w in ws), np.uint64, int(lengths.sum()))
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(w) for ws in self.words for w in ws]), np.uint64).reshape(-1, 2)
+        self.hashes, self.second = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         self.left = np.repeat(self.ends, lengths) - np.arange(len(self.hashes))  # words from here to the document's end
         self.at = np.arange(len(self.hashes)) - np.repeat(self.starts, lengths)
 
@@ -101,15 +105,15 @@ def _blocks(limit: int):
 class Deal:
     """Which task each entry of a block goes to, and in what order."""
 
-    def __init__(self, hashes: np.ndarray, keys: list[int]):
-        part = (hashes >> np.uint64(40)) % np.uint64(len(keys))
-        self.order = np.argsort(part.astype(np.uint16) if len(keys) <= 1 << 16 else part, kind="stable")
+    def __init__(self, hashes: np.ndarray, parts: int, together: int = 1):
+        part = (hashes >> np.uint64(40)) % np.uint64(parts) // np.uint64(together)
+        self.order = np.argsort(part.astype(np.uint16) if parts // together <= 1 << 16 else part, kind="stable")
         ids, first = np.unique(part[self.order], return_index=True)
         ends = [*first[1:].tolist(), len(part)][: len(ids)]
-        self.places = {keys[i]: (a, b) for i, a, b in zip(ids.tolist(), first.tolist(), ends, strict=True)}
+        self.places = {i: (a, b) for i, a, b in zip(ids.tolist(), first.tolist(), ends, strict=True)}
 
     def rows(self, block: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        """A row for each task that gets something: its key, the block, and the packed columns."""
+        """A row for each task that gets something: the task, the block, and the packed columns."""
         ordered = [c[self.order] for c in columns]
         packed = [b"".join(c[a:b].tobytes() for c in ordered) for a, b in self.places.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(self.places), pa.int32()), pa.array([block] * len(packed), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
@@ -123,6 +127,51 @@ class Deal:
         return out
 
 
+class ProbeWire:
+    """Entries of the index: a hash with two flags, whether a reference block is among them and whether they are several. Six bytes hold what a task needs; where groups of
+    tasks come between, eight keep the bits that name the task, too."""
+
+    def __init__(self, wide: bool):
+        self.width = 8 if wide else 6
+
+    def entries(self, hashes: np.ndarray, anchored: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
+        base = hashes & ~np.uint64(3) if self.width == 8 else (hashes & _LOW) << np.uint64(2)
+        return [base | anchored.astype(np.uint64) << np.uint64(1) | many.astype(np.uint64)]
+
+    def write(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.ascontiguousarray(cols[0].view(np.uint8).reshape(-1, 8)[:, : self.width])]
+
+    def read(self, buffers: list[pa.Buffer]) -> tuple[list[np.ndarray], list[int]]:
+        counts = [x.size // self.width for x in buffers]
+        wide, at = np.zeros((sum(counts), 8), np.uint8), 0
+        for x, n in zip(buffers, counts, strict=True):
+            wide[at : at + n, : self.width] = np.frombuffer(x, np.uint8, self.width * n).reshape(n, self.width)
+            at += n
+        return [wide.view(np.uint64).ravel()], counts
+
+    keys = staticmethod(lambda cols: (cols[0] >> np.uint64(2),))
+    flags = staticmethod(lambda cols: cols[0] & np.uint64(3))
+    flagged = staticmethod(lambda cols, f: [cols[0] & ~np.uint64(3) | f])
+    #: Those that hold a reference block and are found twice.
+    yes = staticmethod(lambda f: f == 3)
+
+
+class WindowWire:
+    """Entries of the full windows: two hashes, the lowest bit of the second tells whether they are several."""
+
+    def write(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        return cols
+
+    def read(self, buffers: list[pa.Buffer]) -> tuple[list[np.ndarray], list[int]]:
+        counts = [x.size // 16 for x in buffers]
+        return [np.concatenate([np.frombuffer(x, np.uint64, n, k * 8 * n) for x, n in zip(buffers, counts, strict=True)]) for k in (0, 1)], counts
+
+    keys = staticmethod(lambda cols: (cols[1] & ~np.uint64(1), cols[0]))
+    flags = staticmethod(lambda cols: cols[1] & np.uint64(1))
+    flagged = staticmethod(lambda cols, f: [cols[0], cols[1] & ~np.uint64(1) | f])
+    yes = staticmethod(lambda f: f == 1)
+
+
 def _counted(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, index of each group's first row in it, group size) of rows with equal keys; the last key sorts first."""
     order = np.lexsort(order_by) if len(order_by) > 1 else np.argsort(order_by[0], kind="stable")
@@ -135,24 +184,46 @@ def _counted(order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray,
     return order, first, np.diff(np.append(first, len(order)))
 
 
+def _merged(wire: ProbeWire | WindowWire, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, size, flags) of groups of equal entries; the lowest flag is set where there are several."""
+    order, first, size = _counted(wire.keys(cols))
+    f = np.bitwise_or.reduceat(wire.flags(cols)[order], first) if len(first) else np.zeros(0, np.uint64)
+    return order, first, size, f | (size > 1).astype(np.uint64)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How many tasks there are, how many of them a group has (1: no groups), and the sizes of blocks and windows."""
+
+    parts: int
+    together: int
+    anchor: int
+    window: int
+
+    @property
+    def wire(self) -> ProbeWire:
+        return ProbeWire(self.together > 1)
+
+
 class Probes:
     """A block's entries for the index: a row for each distinct window of `anchor` words in documents that are long enough."""
 
-    def __init__(self, b: Block, anchor: int, window: int, keys: list[int]):
-        self.block, self.anchor, self.window = b, anchor, window
-        self.valid = b.windows(anchor) & (b.left + b.at >= window)[: max(0, len(b.hashes) - anchor + 1)]
-        every = rolling(b.hashes, anchor, 1)[self.valid]
+    def __init__(self, b: Block, to: Layout):
+        self.block, self.to = b, to
+        self.valid = b.windows(to.anchor) & (b.left + b.at >= to.window)[: max(0, len(b.hashes) - to.anchor + 1)]
+        every = rolling(b.hashes, to.anchor, 1)[self.valid]
+        if to.together > 1:
+            every &= ~np.uint64(3)  # equal as they are sent
         self.order, self.first, self.size = _counted((every,))
         self.hashes = every[self.order][self.first]
-        self.deal = Deal(self.hashes, keys)
+        self.deal = Deal(self.hashes, to.parts, to.together)
 
     def rows(self, number: int) -> pa.RecordBatch | None:
         if not len(self.hashes):
             return None
-        anchored = (self.block.at[: len(self.valid)][self.valid] % self.anchor == 0).astype(np.uint8)
+        anchored = (self.block.at[: len(self.valid)][self.valid] % self.to.anchor == 0).astype(np.uint8)
         anchored = np.maximum.reduceat(anchored[self.order], self.first)
-        entry = ((self.hashes & _LOW) << np.uint64(2)) | (anchored.astype(np.uint64) << np.uint64(1)) | (self.size > 1).astype(np.uint64)
-        return self.deal.rows(number, [np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :6])])
+        return self.deal.rows(number, self.to.wire.write(self.to.wire.entries(self.hashes, anchored, self.size > 1)))
 
     def candidates(self, replies: list[dict]) -> np.ndarray:
         """Starts of the full windows that hold a hit."""
@@ -161,21 +232,21 @@ class Probes:
         inner[self.order] = np.repeat(self.deal.flags(replies), self.size)
         hit[self.valid] = inner
         before = np.concatenate(([0], np.cumsum(hit)))
-        valid = self.block.windows(self.window)
+        valid = self.block.windows(self.to.window)
         start = np.arange(len(valid))
-        return np.nonzero(valid & (before[start + self.window - self.anchor + 1] > before[start]))[0]
+        return np.nonzero(valid & (before[start + self.to.window - self.to.anchor + 1] > before[start]))[0]
 
 
 class Windows:
     """A block's candidate windows, a row for each distinct one."""
 
-    def __init__(self, probes: Probes, replies: list[dict], keys: list[int]):
-        hashes, window = probes.block.hashes, probes.window
+    def __init__(self, probes: Probes, replies: list[dict]):
+        block, to = probes.block, probes.to
         self.starts = probes.candidates(replies)
-        one, two = rolling(hashes, window, 2)[self.starts], rolling(hashes, window, 3)[self.starts] & ~np.uint64(1)
+        one, two = rolling(block.hashes, to.window, 2)[self.starts], rolling(block.second, to.window, 3)[self.starts] & ~np.uint64(1)
         self.order, self.first, self.size = _counted((two, one))
         self.one, self.two = one[self.order][self.first], two[self.order][self.first]
-        self.deal = Deal(self.one, keys)
+        self.deal = Deal(self.one, to.parts, to.together)
 
     def rows(self, number: int) -> pa.RecordBatch | None:
         return self.deal.rows(number, [self.one, self.two | (self.size > 1).astype(np.uint64)]) if len(self.starts) else None
@@ -193,89 +264,124 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
 
-def _probe(keys: list[int], anchor: int, window: int):
+def _probe(to: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
-            out = Probes(Block(r["texts"]), anchor, window, keys).rows(r["block"])
+            out = Probes(Block(r["texts"]), to).rows(r["block"])
             if out is not None:
                 yield out
 
     return run
 
 
-def _extend(keys: list[int], anchor: int, window: int):
+def _extend(to: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
-            out = Windows(Probes(Block(r["texts"]), anchor, window, keys), r["hits"], keys).rows(r["block"]) if r["hits"] else None
+            out = Windows(Probes(Block(r["texts"]), to), r["hits"]).rows(r["block"]) if r["hits"] else None
             if out is not None:
                 yield out
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch], judge: Callable[[list[pa.Buffer]], tuple[np.ndarray, list[int]]]) -> Iterator[pa.RecordBatch]:
-    """For each row that a task got, a bit for each of its entries; rows without any are left out."""
-    parts, blocks, buffers = [], [], []
-    for batch in batches:
-        parts += batch.column("part").to_pylist()
-        blocks += batch.column("block").to_pylist()
-        buffers += [x.as_buffer() for x in batch.column("packed")]
-    if not blocks:
-        return
-    yes, counts = judge(buffers)
+def _answered(blocks: list[int], parts: list[int], yes: np.ndarray, counts: list[int]) -> pa.RecordBatch:
+    """A bit for each entry of each row; rows without any are left out."""
     found, at = [], 0
-    for p, b, n in zip(parts, blocks, counts, strict=True):
+    for b, p, n in zip(blocks, parts, counts, strict=True):
         mine = yes[at : at + n]
         at += n
         if mine.any():
             found.append((b, p, np.packbits(mine).tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "packed"])
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the entries of a task, those that hold a reference block and are found twice."""
+def _judge(wire: ProbeWire | WindowWire):
+    """Of the entries of a task, those that the wire says yes to."""
 
-    def judge(buffers: list[pa.Buffer]) -> tuple[np.ndarray, list[int]]:
-        counts = [x.size // 6 for x in buffers]
-        wide, at = np.zeros((sum(counts), 8), np.uint8), 0
-        for x, n in zip(buffers, counts, strict=True):
-            wide[at : at + n, :6] = np.frombuffer(x, np.uint8, 6 * n).reshape(n, 6)
-            at += n
-        entry = wide.view(np.uint64).ravel()
-        order, first, size = _counted((entry >> np.uint64(2),))
-        flags = np.bitwise_or.reduceat(entry[order], first)
-        hit = ((flags >> np.uint64(1) & np.uint64(1)) == 1) & ((size > 1) | (flags & np.uint64(1) == 1))
-        yes = np.zeros(len(entry), bool)
-        yes[order] = np.repeat(hit, size)
-        return yes, counts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, blocks, buffers = [], [], []
+        for batch in batches:
+            parts += batch.column("part").to_pylist()
+            blocks += batch.column("block").to_pylist()
+            buffers += [x.as_buffer() for x in batch.column("packed")]
+        if not blocks:
+            return
+        cols, counts = wire.read(buffers)
+        order, _, size, f = _merged(wire, cols)
+        yes = np.zeros(len(order), bool)
+        yes[order] = np.repeat(wire.yes(f), size)
+        yield _answered(blocks, parts, yes, counts)
 
-    return _answers(batches, judge)
+    return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the full windows of a task, those found twice."""
+def _gather(wire: ProbeWire | WindowWire, limit: int):
+    """Rows of a group of tasks as super-blocks of up to about `limit` entries: block, part (the group), blocks, packed (a list)."""
+    width = wire.width if isinstance(wire, ProbeWire) else 16
 
-    def judge(buffers: list[pa.Buffer]) -> tuple[np.ndarray, list[int]]:
-        counts = [x.size // 16 for x in buffers]
-        one = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(buffers, counts, strict=True)])
-        two = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(buffers, counts, strict=True)])
-        many, two = two & np.uint64(1), two & ~np.uint64(1)
-        order, first, size = _counted((two, one))
-        twice = (size > 1) | (np.bitwise_or.reduceat(many[order], first) == 1)
-        yes = np.zeros(len(one), bool)
-        yes[order] = np.repeat(twice, size)
-        return yes, counts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(place << 32) + seq], pa.int64()), pa.array([held[0][0]], pa.int32()), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([[h[2] for h in held]], pa.list_(pa.binary()))],
+                ["block", "part", "blocks", "packed"],
+            )
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, block, packed = (batch.column(n)[k].as_py() for n in ("part", "block", "packed"))
+                if held and (size >= limit or held[0][0] != part):
+                    yield out()
+                    seq, held, size = seq + 1, [], 0
+                held.append((part, block, packed))
+                size += len(packed) // width
+        if held:
+            yield out()
+
+    return run
+
+
+class Super:
+    """The entries of a super-block, each distinct one once."""
+
+    def __init__(self, packed: list[bytes], wire: ProbeWire | WindowWire, parts: int):
+        cols, self.counts = wire.read([pa.py_buffer(x) for x in packed])
+        self.order, first, self.size, f = _merged(wire, cols)
+        self.cols = wire.write(wire.flagged([c[self.order][first] for c in cols], f))
+        self.deal = Deal(cols[0][self.order][first], parts)
+
+
+def _ask(wire: ProbeWire | WindowWire, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            own = Super(r["packed"], wire, parts)
+            yield own.deal.rows(r["block"], own.cols)
 
-    return _answers(batches, judge)
+    return run
+
+
+def _pass_on(wire: ProbeWire | WindowWire, parts: int):
+    """The answers that a super-block got, as answers to its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            if r["replies"]:
+                own = Super(r["packed"], wire, parts)
+                yes = np.zeros(len(own.order), bool)
+                yes[own.order] = np.repeat(own.deal.flags(r["replies"]), own.size)
+                yield _answered(r["blocks"], [r["part"]] * len(r["blocks"]), yes, own.counts)
+
+    return run
 
 
-def _remove(keys: list[int], anchor: int, window: int):
+def _remove(to: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             if r["repeats"]:
                 b = Block(r["texts"])
-                found = Windows(Probes(b, anchor, window, keys), r["hits"], keys).repeated(r["repeats"])
-                edges = np.bincount(found, minlength=len(b.hashes) + 1) - np.bincount(found + window, minlength=len(b.hashes) + 1)
+                found = Windows(Probes(b, to), r["hits"]).repeated(r["repeats"])
+                edges = np.bincount(found, minlength=len(b.hashes) + 1) - np.bincount(found + to.window, minlength=len(b.hashes) + 1)
                 keep = np.cumsum(edges)[:-1] == 0
                 kept = []
                 for ws, s, e in zip(b.words, b.starts.tolist(), b.ends.tolist(), strict=True):
@@ -299,27 +405,38 @@ def _replied(blocks: DataFrame, **replies: DataFrame) -> DataFrame:
     return blocks
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row. window: odd."""
+_ROWS = "part int, block long, packed binary"
+_REPLIES = "block long, part int, packed binary"
+
+
+def _exchange(entries: DataFrame, wire: ProbeWire | WindowWire, to: Layout, tag: str) -> DataFrame:
+    """block, part, packed: what the tasks answered to the entries (part, block, packed) of every block."""
+    meet = _judge(wire)
+    if to.together == 1:
+        out = materialize(entries.repartitionById(to.parts, "part").mapInArrow(meet, _REPLIES), tag)
+    else:
+        groups = -(-to.parts // to.together)
+        supers = materialize(entries.repartitionById(groups, "part").mapInArrow(_gather(wire, TASK_ENTRIES), "block long, part int, blocks array<long>, packed array<binary>"), f"{tag}-super")
+        replies = materialize(supers.mapInArrow(_ask(wire, to.parts), _ROWS).repartitionById(to.parts, "part").mapInArrow(meet, _REPLIES), f"{tag}-fine")
+        out = materialize(_replied(supers, replies=replies).mapInArrow(_pass_on(wire, to.parts), _REPLIES), tag)
+    release(entries.sparkSession)
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None, coarse: int = COARSE) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row. window: odd. parts and coarse are found from the input and set by tests."""
     spark, anchor = docs.sparkSession, (window + 1) // 2
     arrow_batches(spark, megabytes=8)
     blocks = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(BLOCK_BYTES), "block long, words long, ids array<long>, texts array<binary>"), "substring-blocks"
     )
     total = blocks.agg(F.sum("words")).first()[0] or 0
-    keys = task_keys(spark, max(partitions(spark), -(-total // TASK_ENTRIES)))
-
-    def exchange(rows: DataFrame, emit: Callable, meet: Callable, tag: str) -> DataFrame:
-        packed = rows.mapInArrow(emit(keys, anchor, window), "part int, block long, packed binary")
-        out = materialize(packed.repartition(len(keys), "part").mapInArrow(meet, "block long, part int, packed binary"), tag)
-        del packed
-        release(spark)
-        return out
-
+    parts = parts or max(partitions(spark), -(-total // TASK_ENTRIES))
+    to = Layout(parts, groups_of(parts, coarse), anchor, window)
     texts = blocks.select("block", "texts")
-    hits = exchange(texts, _probe, _hits, "substring-hits")
-    repeats = exchange(_replied(texts, hits=hits), _extend, _repeats, "substring-repeats")
-    return _replied(blocks.drop("words"), hits=hits, repeats=repeats).mapInArrow(_remove(keys, anchor, window), "doc_id long, n_words long, n_removed long, kept_text string")
+    hits = _exchange(texts.mapInArrow(_probe(to), _ROWS), to.wire, to, "substring-hits")
+    repeats = _exchange(_replied(texts, hits=hits).mapInArrow(_extend(to), _ROWS), WindowWire(), to, "substring-repeats")
+    return _replied(blocks.drop("words"), hits=hits, repeats=repeats).mapInArrow(_remove(to), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

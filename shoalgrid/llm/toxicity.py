@@ -3,12 +3,13 @@
 A document's terms are its words (lower case, letters only) and their first four and five letters, each hashed into
 HASHES slots; a term counts once a document. The machine is fitted on a bounded sample: TRAINING_ROWS labelled documents that aren't held out, chosen by
 a hash of their doc_id, so the list of them can be broadcast and no text is shuffled. Counts of every slot over the sample (a table of at most
-HASHES rows) say which slots go with the label; the machine is over those, at most TERMS of them. It has a weight for each and
+HASHES rows) say which slots go with the label, each by itself; the machine is over those, at most TERMS of them (without that screen noise fills the pairs: the README has figures). It has a weight for each and
 a vector of FACTORS numbers, whose dot products are the weights of pairs, so that an insult with a group's name can weigh more than both alone.
 Every document is then scored in one pass over its whole text; the model is a few hundred KB whatever the input.
 
 Defined cases: an empty or null text has no terms and gets the bias alone; without labels of both classes every score is the share of label 1 (0 without
-labels); repeated rows are scored each for itself; extra columns are ignored; an empty table gives an empty result.
+labels); repeated rows are scored each for itself, and a doc_id with several labels counts as toxic if any says so; very long texts are read whole, for their distinct terms; slots whose counts tie are
+taken by number; extra columns, also of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.common import arrow_batches, materialize, table
-from shoalgrid.llm.labels import held_out, training
+from shoalgrid.llm.labels import held_out, taught
 
 THRESHOLD = 0.5
 HASHES = 1 << 18
@@ -150,8 +151,7 @@ def learn(rows: list[tuple[list[int], int]], size: int, seed: int = 11, steps: i
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     """docs: doc_id and text."""
     arrow_batches(docs.sparkSession, megabytes=8)
-    each = training(labels.select("doc_id").distinct(), labels, label)
-    chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).withColumnRenamed("doc_id", "_id")
+    chosen = taught(labels, label).filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).withColumnRenamed("doc_id", "_id")
     chosen = materialize(chosen, "toxicity-chosen")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
     rows = materialize(rows, "toxicity-training")

@@ -133,7 +133,7 @@ def test_base_spans_are_the_patterns(spark, fixture_dir):
     rng = random.Random(3)
     for _ in range(20_000):
         text = "".join(rng.choice("01259@.+- ()ab.@1") for _ in range(rng.randrange(50)))
-        assert sorted((k, a, b) for k, a, b, strict in pii.search(text) if strict) == plain(text)
+        assert sorted((k, a, b) for k, a, b, form in pii.search(text) if form == pii.STRICT) == plain(text)
     want = Counter()
     for i, t in documents(spark, fixture_dir):
         spans = plain(t)
@@ -143,8 +143,8 @@ def test_base_spans_are_the_patterns(spark, fixture_dir):
 
 
 def test_weak_supervision_adds_what_its_labelers_back():
-    strong, weak = pii.pattern_of(3, (1, 2, 2), 4), pii.pattern_of(3, (1, 1, 1), 4)
-    counts = {pii.pattern_of(3, (2, 2, 2), 4): 500, pii.pattern_of(3, (2, 2, 0), 4): 300, strong: 40, weak: 400}
+    strong, weak = pii.pattern_of(3, pii.LOOSE, (0, 2, 2), 4), pii.pattern_of(3, pii.LOOSE, (0, 1, 1), 4)
+    counts = {pii.pattern_of(3, pii.STRICT, (2, 2, 2), 4): 500, pii.pattern_of(3, pii.STRICT, (2, 2, 0), 4): 300, strong: 40, weak: 400}
     prior, given, probable = pii.reliabilities(counts)
     scores = pii.classifier(counts, probable)
     assert scores[strong] > pii.THRESHOLD > scores[weak]
@@ -236,7 +236,7 @@ def test_parts_are_flattened_in_order(spark):
     turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     got = chat.format_conversations(turns).withColumn("turns", chat.parse(chat.F.col("formatted"))).first()
     assert got["formatted"] == "<s>user[INST]see ~t~p<image> and <audio>?<document></s><s>assistant[/INST]</s>"
-    assert [tuple(a) for a in got["attachments"]] == [(0, "image", "a.png", 2 + 3 * 256), (1, "audio", "b.wav", 2 + 250), (2, "document", "c.pdf", 2)]
+    assert [tuple(a) for a in got["attachments"]] == [(0, "image", "a.png", 2 + 3 * 256, ""), (1, "audio", "b.wav", 2 + 250, ""), (2, "document", "c.pdf", 2, "")]
     assert got["expanded_tokens"] == 770 + 252 + 2
     assert [(t["role"], t["trained"]) for t in got["turns"]] == [("user", False), ("assistant", True)]
 
@@ -251,7 +251,7 @@ def test_distances(spark):
     assert (round(row["same"], 9), round(row["apart"], 9), row["none"]) == (0, 1, 0)
 
 
-def test_pipeline_against_brute_force(spark, fixture_dir):
+def test_pipeline_stages(spark, fixture_dir):
     """Each stage on its own input: what stays, how often, and that texts pass unchanged."""
     import corpus_pipeline
 
