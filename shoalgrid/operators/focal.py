@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.lineage import cut, drop
+
 AXES = ("x", "y")
 
 
@@ -59,6 +63,14 @@ def box_sizes(sigma: float, n: int = 3) -> list[int]:
     return [(low if i < m else low + 2) // 2 for i in range(n)]
 
 
+def box_blur(cells: DataFrame, value: str, sigma: float) -> DataFrame:
+    """Near a Gaussian by three boxes: all passes along one axis, then all along the other, which gives the same and exchanges the raster twice."""
+    for axis in AXES:
+        for r in box_sizes(sigma):
+            cells = weighted(cells, value, axis, box(r))
+    return cells
+
+
 TENT = [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9]
 
 
@@ -91,8 +103,9 @@ def structure_tensor(cells: DataFrame, value: str, radius: int) -> DataFrame:
     gx, gy = gradient(value)
     t = cells.withColumn("_gx", gx).withColumn("_gy", gy)
     t = t.withColumns({"_xx": F.col("_gx") * F.col("_gx"), "_xy": F.col("_gx") * F.col("_gy"), "_yy": F.col("_gy") * F.col("_gy")})
-    for c in ("_xx", "_xy", "_yy"):
-        t = separable(t, c, box(radius))
+    for axis in AXES:  # all three along one axis before the other: one exchange an axis
+        for c in ("_xx", "_xy", "_yy"):
+            t = weighted(t, c, axis, box(radius))
     half, cross = (F.col("_xx") - F.col("_yy")) / 2, F.col("_xy")
     root = F.sqrt(half * half + cross * cross)
     t = t.withColumn("anisotropy", F.coalesce(F.try_divide(F.lit(2.0) * root, F.col("_xx") + F.col("_yy")), F.lit(0.0)))
@@ -110,10 +123,11 @@ def block_average(cells: DataFrame, value: str, sx: int, sy: int) -> DataFrame:
 
 
 def nearest(cells: DataFrame, value: str, n: tuple[int, int], p: tuple[int, int]) -> DataFrame:
-    """A raster of n cells as one of p cells: cell i takes floor(i * n / p). n and p: (across, down)."""
-    grid = [cells.sparkSession.range(p[k]).select(F.col("id").alias(a), F.floor(F.col("id") * n[k] / p[k]).alias(f"_{a}")) for k, a in enumerate(AXES)]
-    source = cells.select(F.col("x").alias("_x"), F.col("y").alias("_y"), value)
-    return source.join(F.broadcast(grid[0]), "_x").join(F.broadcast(grid[1]), "_y").select("x", "y", value)
+    """A raster of n cells as one of p cells: cell i takes floor(i * n / p). n and p: (across, down). Each cell says which new ones take it."""
+    out = lambda a, k: F.sequence(F.ceil(F.col(a) * p[k] / F.lit(n[k])), F.ceil((F.col(a) + 1) * p[k] / F.lit(n[k])) - 1)
+    some = lambda a, k: F.ceil(F.col(a) * p[k] / F.lit(n[k])) <= F.ceil((F.col(a) + 1) * p[k] / F.lit(n[k])) - 1
+    taken = cells.filter(some("x", 0) & some("y", 1)).select(out("x", 0).alias("ox"), out("y", 1).alias("oy"), value)
+    return taken.select(F.explode("ox").alias("x"), "oy", value).select("x", F.explode("oy").alias("y"), value)
 
 
 def bilinear(points: DataFrame, cells: DataFrame, value: str, key: str, n: tuple[int, int]) -> DataFrame:
@@ -172,12 +186,42 @@ def spline_taps(n: int, p: int, reach: int = 20) -> list[tuple[int, int, float]]
     return out
 
 
-def resample(cells: DataFrame, value: str, axis: str, n: int, p: int, kernel=taps) -> DataFrame:
-    """A raster resampled along one axis by a join with the table of taps (a fixed number an output cell along the axis, broadcast)."""
+def _mitchell(t: Column, b: float = 1 / 3, c: float = 1 / 3) -> Column:
+    near = F.lit((12 - 9 * b - 6 * c) / 6) * t * t * t + F.lit((-18 + 12 * b + 6 * c) / 6) * t * t + F.lit((6 - 2 * b) / 6)
+    far = F.lit((-b - 6 * c) / 6) * t * t * t + F.lit((6 * b + 30 * c) / 6) * t * t + F.lit((-12 * b - 48 * c) / 6) * t + F.lit((8 * b + 24 * c) / 6)
+    return F.when(t < 1, near).when(t < 2, far).otherwise(F.lit(0.0))
+
+
+def _cardinal(t: Column) -> Column:
+    """cardinal() as a Column: four bumps reach a place."""
+    total = F.lit(0.0)
+    for k in range(-1, 3):
+        at = F.floor(t) + k
+        u = F.abs(t - at)
+        bump = F.when(u < 1, (F.lit(4.0) - u * u * 6 + u * u * u * 3) / 6).otherwise(F.pow(F.greatest(F.lit(0.0), F.lit(2.0) - u), F.lit(3)) / 6)
+        total = total + F.lit(math.sqrt(3)) * F.pow(F.lit(2 - math.sqrt(3)), F.abs(at).cast("double")) * F.when(F.abs(at) % 2 == 0, 1.0).otherwise(-1.0) * bump
+    return total
+
+
+def tap_table(spark: SparkSession, n: int, p: int, spline: bool = False, reach: int = 20) -> DataFrame:
+    """_out, _src, _w: what taps() and spline_taps() list, made by Spark, as it has a few rows for every cell along the axis."""
+    first, last = (-reach, reach + 1) if spline else (-1, 2)
+    places = spark.range(p).select(F.col("id").alias("_out"), ((F.col("id") + F.lit(0.5)) * n / F.lit(float(p)) - F.lit(0.5)).alias("centre"))
+    each = places.select("_out", "centre", F.explode(F.sequence(F.floor("centre") + first, F.floor("centre") + last)).alias("k"))
+    if spline:
+        turn = F.pmod("k", F.lit(2 * n - 2)) if n > 1 else F.lit(0)
+        each = each.withColumn("_src", F.least(turn, F.lit(2 * n - 2) - turn)).withColumn("_w", _cardinal(F.col("centre") - F.col("k")))
+    else:
+        each = each.withColumn("_src", F.least(F.greatest("k", F.lit(0)), F.lit(n - 1))).withColumn("_w", _mitchell(F.abs(F.col("centre") - F.col("k"))))
+    whole = Window.partitionBy("_out")
+    return each.select("_out", F.col("_src").cast("int").alias("_src"), (F.col("_w") / F.sum("_w").over(whole)).alias("_w"))
+
+
+def resample(cells: DataFrame, value: str, axis: str, n: int, p: int, spline: bool = False) -> DataFrame:
+    """A raster resampled along one axis by a join with the table of taps, by the cubic kernel or the interpolating spline (the raster mirrored at its edge cells)."""
     other = "y" if axis == "x" else "x"
-    tap = cells.sparkSession.createDataFrame(kernel(n, p), f"_out long, {axis} int, w double")
-    rows = cells.withColumn(axis, F.col(axis).cast("int")).join(F.broadcast(tap), axis)
-    return rows.groupBy(F.col("_out").alias(axis), other).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    rows = cells.select(F.col(axis).cast("int").alias("_src"), other, value).join(tap_table(cells.sparkSession, n, p, spline), "_src")
+    return rows.groupBy(F.col("_out").alias(axis), other).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
 
 
 def mosaic(base: Column, layers: list[tuple[Column, Column]]) -> Column:
@@ -190,8 +234,9 @@ def mosaic(base: Column, layers: list[tuple[Column, Column]]) -> Column:
 def flatten_tone(cells: DataFrame, value: str, mask: str, sigma: float, target: float) -> DataFrame:
     """The masked tone brought towards a target: blur(L * m) / blur(m) is the local tone, the gain is held to 0.72 to 1.45 and softened."""
     t = cells.withColumn("_a", F.col(value) * F.col(mask)).withColumn("_b", F.col(mask).cast("double"))
-    for c in ("_a", "_b"):
-        t = separable(t, c, gaussian(sigma))
+    for axis in AXES:
+        for c in ("_a", "_b"):
+            t = weighted(t, c, axis, gaussian(sigma))
     local = F.try_divide(F.col("_a"), F.col("_b"))
     gain = F.pow(F.least(F.greatest(F.try_divide(F.lit(float(target)), local), F.lit(0.72)), F.lit(1.45)), F.lit(0.75))
     return t.withColumn(value, F.when(F.col(mask) == 1, F.col(value) * F.coalesce(gain, F.lit(1.0))).otherwise(F.col(value))).drop("_a", "_b")
@@ -255,12 +300,66 @@ def splat(points: DataFrame, weight: str, tone: str) -> DataFrame:
     return rows.groupBy("c.x", "c.y").agg(F.sum("w").alias("weight"), (F.sum(F.col("w") * F.col(tone)) / F.sum("w")).alias("tone"))
 
 
+def nearest_distance(points: DataFrame, targets: DataFrame, key: str, first: float, last: float) -> DataFrame:
+    """key and d2, the squared distance to the nearest target, of all points that have one within `last`.
+
+    Points meet targets in squares: those with none in the squares of width `first` around them look again in squares twice as wide, and so on. What lies outside the nine squares around a point
+    is further away than their width, so a distance up to that is final. Targets are thinned to distinct places first."""
+    places = cut(targets.select("px", "py").distinct(), "places")
+    left, found, width = cut(points.select(key, "px", "py"), "points"), None, first
+    while True:
+        cell = lambda c, w=width: F.floor(F.col(c) / F.lit(w))
+        around = F.array(*[F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        there = places.select(F.col("px").alias("tx"), F.col("py").alias("ty"), cell("px").alias("cx"), cell("py").alias("cy"))
+        d2 = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
+        near = left.select("*", F.explode(around).alias("c")).select(key, "px", "py", "c.*").join(there, ["cx", "cy"]).groupBy(key).agg(F.min(d2).alias("d2"))
+        near = cut(near.filter(F.col("d2") <= width * width), "near")
+        found = near if found is None else found.unionByName(near)
+        if width >= last:
+            return found.filter(F.col("d2") <= last * last)
+        before, left = left, cut(left.join(near, key, "left_anti"), "points")
+        drop(before)
+        if not left.limit(1).count():
+            return found.filter(F.col("d2") <= last * last)
+        width = min(2 * width, last)
+
+
 def confidence(points: DataFrame, targets: DataFrame, key: str, reach: float) -> DataFrame:
-    """key and exp(-(d / reach)^2) of the distance to the nearest target, 0 beyond three reaches. Points meet targets cell by cell of that width."""
-    size = F.lit(3.0 * reach)
-    cell = lambda c: F.floor(F.col(c) / size)
-    near = points.select(key, "px", "py", F.explode(F.array(*[F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(key, "px", "py", "c.*")
-    there = targets.select(F.col("px").alias("tx"), F.col("py").alias("ty"), cell("px").alias("cx"), cell("py").alias("cy"))
-    d2 = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
-    found = near.join(there, ["cx", "cy"]).groupBy(key).agg(F.min(d2).alias("d2")).filter(F.col("d2") <= (3.0 * reach) ** 2)
+    """key and exp(-(d / reach)^2) of the distance to the nearest target, 0 without any. Beyond 28 reaches a double holds nothing but 0, so no nearest target is looked for there."""
+    found = nearest_distance(points, targets, key, 3.0 * reach, 28.0 * reach)
     return points.select(key).join(found, key, "left").select(key, F.coalesce(F.exp(-F.col("d2") / F.lit(float(reach * reach))), F.lit(0.0)).alias("confidence"))
+
+
+def fill_nearest(cells: DataFrame, value: str) -> DataFrame:
+    """x, y and value of every cell without one (null), from the nearest cell that has one, however far; ties go to the first in raster order. A raster without values stays so.
+
+    The nearest value up and down its column is found for every cell by one pass each way; then a row's cells are compared with those columns, nearer ones first, until none can be nearer."""
+    column = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("x").orderBy(F.col("y").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("y").alias("y"), F.col(value).cast("double").alias("v")))
+    rows = cells.select("x", "y", F.last(known, True).over(column).alias("u"), F.last(known, True).over(back).alias("w"), F.col(value).isNull().alias("gap"))
+    up = F.coalesce(F.col("y") - F.col("u.y") <= F.col("w.y") - F.col("y"), F.col("u.y").isNotNull())
+    rows = rows.select(F.col("x").cast("int"), F.col("y").cast("int"), "gap", F.when(up, F.col("u.y")).otherwise(F.col("w.y")).cast("double").alias("sy"), F.when(up, F.col("u.v")).otherwise(F.col("w.v")).alias("sv"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, width, y = int(pdf.x.min()), int(pdf.x.max() - pdf.x.min()) + 1, int(pdf.y.iloc[0])
+        sy, sv = np.full(width, np.nan), np.full(width, np.nan)
+        sy[pdf.x - x0], sv[pdf.x - x0] = pdf.sy, pdf.sv
+        tall = np.where(np.isnan(sy), np.inf, (sy - y) ** 2)
+        gaps = pdf.x[pdf.gap].to_numpy() - x0
+        best, best_y, best_v = np.full(len(gaps), np.inf), np.full(len(gaps), np.inf), np.full(len(gaps), np.nan)
+        for step in range(width):
+            if len(gaps) == 0 or (step * step > best).all():
+                break
+            for side in (-step, step) if step else (0,):
+                at = gaps + side
+                ok = (at >= 0) & (at < width)
+                at = np.clip(at, 0, width - 1)
+                d2 = np.where(ok, tall[at] + step * step, np.inf)
+                # Of equal distances the upper one; in a row the left one, which comes first.
+                nearer = (d2 < best) | ((d2 == best) & np.isfinite(d2) & (sy[at] < best_y))
+                best, best_y, best_v = np.where(nearer, d2, best), np.where(nearer, sy[at], best_y), np.where(nearer, sv[at], best_v)
+        done = np.isfinite(best)
+        return pd.DataFrame({"x": gaps[done] + x0, "y": y, value: best_v[done]})
+
+    return rows.groupBy("y").applyInPandas(fill, f"x int, y int, {value} double")

@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.lineage import cut, drop
+
+#: Rows of a key that are sorted in one task.
+SORTED = 1 << 18
+
 
 def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key in the given order (which must be total for a defined result)."""
+    """The first row of each key in the given order (which must be total for a defined result). Spark keeps a row a key of each task before it shuffles (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def every_kth(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """rows with their number from 0 within the key, in order. Rows are dealt out by range of key and order, numbered within a range, and moved by what lies before: a key may hold all rows."""
+    placed = cut(rows.repartitionByRange(*by, *order).withColumn("_place", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy(*by, "_place").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range that a key lies in
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], "_place", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_place", *by).orderBy(*order)) - 1
+    same = [placed["_place"] == starts["_place"], *[placed[c].eqNullSafe(starts[f"_{c}"]) for c in by]]
+    return placed.withColumn("_within", within).join(starts, same).select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))
+
+
+def every_kth(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """Rows 0, k, 2k ... of each key, in order; not a random sample."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % k == 0).drop("_n")
+    return numbered(rows, by, order, "_i").filter(F.col("_i") % k == 0).drop("_i")
 
 
 def clamped_bins(rows: DataFrame, value: Column, width: float, bins: int) -> DataFrame:
@@ -67,11 +82,32 @@ def valley(smooth: DataFrame, by: list[str], split: int = 128) -> DataFrame:
     return out.select(*by, "low_mode", "high_mode", F.col("v.gray").alias("valley"), F.coalesce(F.try_divide(F.col("v.smooth"), F.col("lower")), F.lit(1.0)).alias("ratio"))
 
 
-def at_rank(rows: DataFrame, by: list[str], value: str, rank: Column) -> DataFrame:
-    """The value at a rank from 0 (a function of n, the rows of the key) in ascending order."""
-    w = Window.partitionBy(*by)
-    ranked = rows.select(*by, value, F.row_number().over(w.orderBy(value)).alias("_n"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("_n") - 1 == rank).select(*by, value)
+def at_rank(rows: DataFrame, by: list[str], value: str, rank: Column, most: int = SORTED) -> DataFrame:
+    """The value at a rank from 0 (a function of n, the rows of the key) in ascending order. value: a number, without nulls.
+
+    While a key has more than `most` rows left in question, values are counted in 1,024 bins between their least and greatest and only the bin that holds the rank is looked at
+    again; so no task sorts a large key. What is left is sorted."""
+    out = cut(rows.select(*by, F.col(value).alias("_v")), "ranked")
+    sizes = out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    left = cut(sizes.select(*by, rank.cast("long").alias("_rank"), F.col("n").alias("_n"), F.col("_lo").cast("double"), F.col("_hi").cast("double")), "ranked")
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in by]
+    while left.filter((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        met = out.join(left, same(out, left)).select(*[out[c] for c in by], "_v", "_rank", "_lo", "_hi")
+        share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+        binned = met.withColumn("_bin", F.least(F.floor(share * 1024), F.lit(1023)))
+        counts = binned.groupBy(*by, "_bin", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin"))  # at most 1,024 rows a key
+        edge = counts.withColumn("_upto", upto).filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank")))
+        edge = edge.select(*by, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_n", F.col("_lo").cast("double"), F.col("_hi").cast("double"))
+        old, left = (out, left), cut(edge, "ranked")
+        out = cut(old[0].join(left, same(old[0], left)).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).select(*[old[0][c] for c in by], "_v"), "ranked")
+        drop(*old)
+    # A key whose values are all equal needs no order.
+    flat = left.filter((F.col("_n") > most) & (F.col("_rank") < F.col("_n")))
+    done = out.join(flat, same(out, flat), "left_semi").groupBy(*by).agg(F.min("_v").alias(value))
+    few = left.filter(F.col("_n") <= most)
+    ranked = out.join(few, same(out, few)).select(*[out[c] for c in by], "_v", "_rank").withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1)
+    return ranked.filter("_i = _rank").select(*by, F.col("_v").alias(value)).unionByName(done)
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -85,9 +121,23 @@ def detrend(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(line)).withColumn("residual", F.col(y) - F.col("_slope") * F.col(x) - F.col("_cut")).drop("_slope", "_cut")
 
 
-def close_pairs(rows: DataFrame, left: Column, right: Column, key: str, value: str, within: float) -> DataFrame:
-    """Pairs of a left and a right row whose keys are at most `within` apart: joined by cell of that width and its two neighbours, never all with all."""
-    cell = F.floor(F.col(key) / F.lit(within)).cast("long")
-    a = rows.filter(left).select(F.col(key).alias("a_key"), F.col(value).alias("a_value"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-    b = rows.filter(right).select(F.col(key).alias("b_key"), F.col(value).alias("b_value"), cell.alias("_cell"))
-    return a.join(b, "_cell").filter(F.abs(F.col("a_key") - F.col("b_key")) <= within).drop("_cell")
+def furthest_partner(rows: DataFrame, left: Column, right: Column, key: str, value: str, within: int) -> DataFrame:
+    """For every left row (value) the right row whose key is at most `within` away (both whole numbers) and whose value lies furthest, the smaller value on ties: value, partner, gap.
+
+    The furthest value is the least or the greatest one in reach, so no pairs are made. Keys are cut into cells of that width: a row reaches the whole of its own cell, the end of the
+    one before and the beginning of the one after, whose running extremes are read off where its reach ends."""
+    cell = F.floor(F.col(key) / within).cast("long")
+    ends = rows.filter(right).select(cell.alias("cell"), F.col(key).alias("at"), F.col(value).alias("v"), F.lit(None).cast("long").alias("of"), F.lit(0).alias("side"))
+    mine = rows.filter(left).select(cell.alias("cell"), F.col(key).alias("at"), F.col(value).alias("of"))
+    probe = lambda step, reach, side: mine.select((F.col("cell") + step).alias("cell"), (F.col("at") + reach).alias("at"), F.lit(None).alias("v"), F.col("of").cast("long"), F.lit(side).alias("side"))
+    # side: 1 takes all keys from `at` on, 2 all up to `at`, 3 the whole cell.
+    both = ends.unionByName(probe(-1, -within, 1)).unionByName(probe(1, within, 2)).unionByName(probe(0, 0, 3))
+    rows_first = [F.col("side")]
+    up = Window.partitionBy("cell").orderBy("at", *rows_first).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("cell").orderBy(F.col("at").desc(), *rows_first).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("cell")
+    pick = lambda f: F.when(F.col("side") == 1, f("v").over(down)).when(F.col("side") == 2, f("v").over(up)).otherwise(f("v").over(whole))
+    seen = both.select("of", "side", pick(F.min).alias("lo"), pick(F.max).alias("hi")).filter("side > 0")
+    best = seen.groupBy("of").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo is not null")
+    low = F.abs(F.col("of") - F.col("lo")) >= F.abs(F.col("of") - F.col("hi"))
+    return best.select(F.col("of").alias("value"), F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("partner"), F.greatest(F.abs(F.col("of") - F.col("lo")), F.abs(F.col("of") - F.col("hi"))).alias("gap"))

@@ -11,7 +11,8 @@ from shoalgrid.functions import tide
 def asof_interpolate(points: DataFrame, series: DataFrame, by: list[str], t: str = "t", h: str = "h") -> DataFrame:
     """points with h interpolated by half a cosine between the series' rows around t; null outside the series' range, whose last row still counts.
 
-    Both are shuffled once by key and sorted by time; no range join. Series rows have (by, t, h), one for each time."""
+    Both are shuffled once by key and sorted by time, forth and back: both neighbours are the last knot so far, so a row costs the same however busy its key is. No range join.
+    Series rows have (by, t, h), one for each time."""
     both = points.withColumn("_h", F.lit(None).cast("double")).withColumn("_p", F.lit(1)).unionByName(
         series.select(*by, F.col(t), F.col(h).cast("double").alias("_h")).withColumn("_p", F.lit(0)), allowMissingColumns=True
     )
@@ -19,7 +20,8 @@ def asof_interpolate(points: DataFrame, series: DataFrame, by: list[str], t: str
     past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     knot = F.when(F.col("_p") == 0, F.struct(F.col(t).alias("t"), F.col("_h").alias("h")))
     both = both.withColumn("_before", F.last(knot, ignorenulls=True).over(past))
-    both = both.withColumn("_after", F.first(knot, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy(*by).orderBy(F.col(t).desc(), F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_after", F.last(knot, ignorenulls=True).over(back))
     share = F.try_divide(F.col(t) - F.col("_before.t"), F.col("_after.t") - F.col("_before.t"))
     value = F.when(F.col("_before.t") == F.col(t), F.col("_before.h")).otherwise(tide.cosine_between(F.col("_before.h"), F.col("_after.h"), share))
     return both.withColumn(h, value).filter("_p = 1").select(*points.columns, h)

@@ -76,7 +76,7 @@ def geodesic(spark, d):
 
 def chamfer(spark, d):
     """Distance to the nearest deep cell by steps of 1 and the square root of 2, at most 220."""
-    dist = grid.distance(_cells(spark, d), F.col("v") > 45, tile=64)
+    dist = grid.distance(_cells(spark, d), F.col("v") > 45, tile=64, limit=220.0)
     return dist.select("x", "y", F.round(F.least("dist", F.lit(220.0)), 6).alias("dist"))
 
 
@@ -101,10 +101,7 @@ def tent5(spark, d):
 
 
 def box_blur(spark, d):
-    c = _cells(spark, d)
-    for r in focal.box_sizes(2.0):
-        c = focal.separable(c, "v", focal.box(r))
-    return c.select("x", "y", F.round("v", 6).alias("v"))
+    return focal.box_blur(_cells(spark, d), "v", 2.0).select("x", "y", F.round("v", 6).alias("v"))
 
 
 def max_filter(spark, d):
@@ -134,27 +131,11 @@ def block_avg(spark, d):
 
 
 def nearest_resize(spark, d):
-    return focal.nearest(_cells(spark, d), "v", (50, 40), (33, 17))
-
-
-def bilinear(spark, d):
-    points = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * F.lit(0.49)).alias("px"), (F.col("s_suppkey") * 7 % 39 + F.lit(0.25)).alias("py"))
-    rows = _raster(spark, d).filter("p_partkey < 2000").select("x", "y", F.col("p_size").cast("double").alias("v"))
-    return focal.bilinear(points.filter("px < 49"), rows, "v", "s_suppkey", (50, 40)).withColumn("v", F.round("v", 6))
-
-
-def mitchell(spark, d):
-    c = _raster(spark, d).filter("p_partkey < 2000").select("x", "y", F.col("p_size").cast("double").alias("v"))
-    return focal.resample(focal.resample(c, "v", "x", 50, 80), "v", "y", 40, 64).select("x", "y", F.round("v", 6).alias("v"))
-
-
-def nearest_resize_whole(spark, d):
-    """nearest_resize over all rows; its SQL, like those of bilinear and mitchell, is of a raster of 40 rows."""
     height = _height(spark, d)
     return focal.nearest(_cells(spark, d), "v", (50, height), (33, max(1, height * 17 // 40)))
 
 
-def bilinear_whole(spark, d):
+def bilinear(spark, d):
     """Every supplier's point, all of them within the raster."""
     height = _height(spark, d)
     s = F.col("s_suppkey")
@@ -162,7 +143,7 @@ def bilinear_whole(spark, d):
     return focal.bilinear(points, _cells(spark, d), "v", "s_suppkey", (50, height)).withColumn("v", F.round("v", 6))
 
 
-def mitchell_whole(spark, d):
+def mitchell(spark, d):
     height = _height(spark, d)
     return focal.resample(focal.resample(_cells(spark, d), "v", "x", 50, 80), "v", "y", height, height * 8 // 5).select("x", "y", F.round("v", 6).alias("v"))
 
@@ -193,11 +174,6 @@ def densify(spark, d):
 
 
 def line_raster(spark, d):
-    return focal.rasterise_lines(_lines(spark, d).filter("line < 40"), 0.75, (F.col("line") % 9).cast("double"))
-
-
-def line_raster_whole(spark, d):
-    """line_raster of all lines; its SQL is of those under 40."""
     return focal.rasterise_lines(_lines(spark, d), 0.75, (F.col("line") % 9).cast("double"))
 
 
@@ -217,17 +193,36 @@ def nearest_confidence(spark, d):
 
 
 def nearest_fill(spark, d):
-    """Gaps (one cell in three) filled from the nearest valid cell within four cells, ties to the first in raster order."""
-    c = _cells(spark, d).withColumn("valid", (F.col("x") * 7 + F.col("y") * 3) % 3 != 0)
-    gaps = c.filter("not valid").select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"), F.lit(i * i + j * j).alias("d2")) for i in range(-2, 3) for j in range(-2, 3)])).alias("t")).select("gx", "gy", "t.*")
-    best = gaps.join(c.filter("valid").select("x", "y", "v"), ["x", "y"]).groupBy("gx", "gy").agg(F.min_by("v", F.struct("d2", "y", "x")).alias("v"))
-    return best.select(F.col("gx").alias("x"), F.col("gy").alias("y"), "v")
+    """Gaps (one cell in three, and a block in every twenty rows) filled from the nearest valid cell, ties to the first in raster order."""
+    x, y = F.col("x"), F.col("y")
+    gap = ((x * 7 + y * 3) % 3 == 0) | ((x >= 12) & (x < 24) & (y % 20 >= 4) & (y % 20 < 12))
+    return focal.fill_nearest(_cells(spark, d).withColumn("v", F.when(~gap, F.col("v"))), "v")
 
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
 _A = "a as (select cast(p_partkey % 50 as int) x, cast(p_partkey // 50 as int) y, p_size::double v, case when p_size > 25 then 1 else 0 end m from part)"
-_B = "a as (select cast(p_partkey % 50 as int) x, cast(p_partkey // 50 as int) y, p_size::double v from part where p_partkey < 2000)"
+_HEIGHT = "(select max(p_partkey) // 50 + 1 from part)"
+
+
+def _sql_places(name, n, p):
+    return f"(select n, p, o, (o + 0.5::double) * n / p - 0.5::double centre from (select n, p, unnest(range(cast(p as bigint))) o from (select {n} n, {p} p)))"
+
+
+def _sql_taps(name, n, p):
+    """A relation (o, s, w) of the cubic kernel's taps."""
+    t = "abs(centre - k)"
+    w = f"case when {t} < 1 then (7 * {t} * {t} * {t} - 12 * {t} * {t} + 16 / 3.0::double) / 6 when {t} < 2 then (-7 / 3.0::double * {t} * {t} * {t} + 12 * {t} * {t} - 20 * {t} + 32 / 3.0::double) / 6 else 0.0::double end"
+    return f"{name} as (select o, least(greatest(k, 0), n - 1) s, w / sum(w) over (partition by o) w from (select *, {w} w from (select *, floor(centre) + unnest([-1, 0, 1, 2]) k from {_sql_places(name, n, p)})))"
+
+
+def _sql_spline(name, n, p):
+    """A relation (o, s, w) of the interpolating spline's taps: a B-spline's bumps times their coefficients, mirrored at the edge cells."""
+    u = "abs(centre - k - j)"
+    bump = f"case when {u} < 1 then (4 - 6 * {u} * {u} + 3 * {u} * {u} * {u}) / 6 else pow(greatest(0, 2 - {u}), 3) / 6 end"
+    turn = "(k - floor(k / (2 * n - 2)::double) * (2 * n - 2))"
+    return f"""{name} as (select o, least({turn}, 2 * n - 2 - {turn}) s, w / sum(w) over (partition by o) w from (select o, n, k, sum(sqrt(3) * pow(2 - sqrt(3), abs(j)) * case when abs(j) % 2 = 0 then 1 else -1 end * {bump}) w
+  from (select *, floor(centre - k) + unnest([-1, 0, 1, 2]) j from (select *, floor(centre) + unnest(range(-20, 22)) k from {_sql_places(name, n, p)})) group by all))"""
 
 
 def _sql_reach(diagonal):
@@ -273,7 +268,6 @@ def _sql_morph(start, radius, grow):
 
 _INSIDE = " + ".join(f"case when ({y1} > y + 0.5) <> ({y2} > y + 0.5) and x + 0.5 < {x2 - x1}::double * (y + 0.5 - {y1}) / ({y2 - y1}) + {x1} then 1 else 0 end" for (x1, y1), (x2, y2) in zip(RING, [*RING[1:], RING[0]], strict=True) if y1 != y2)
 _LINES = "ln as (select s_suppkey line, i, (s_suppkey * 3 % 47 + i * 5)::double x, (s_suppkey * 11 % 31 + i * i * 3)::double y from supplier, range(4) r(i)), sg as (select * from (select line, i, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from ln window w as (partition by line order by i)) where x2 is not null), sl as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) len from sg)"
-_TAPS = lambda n, p: ", ".join(f"({o}, {s}, {w!r}::double)" for o, s, w in focal.taps(n, p))
 _TENSOR = f"""with {_A}, g as (select x, y, ({_sql_at('x', 1)} - {_sql_at('x', -1)}) / 2 gx, ({_sql_at('y', 1)} - {_sql_at('y', -1)}) / 2 gy from a),
 xx as (select x, y, gx * gx v from g), xy as (select x, y, gx * gy v from g), yy as (select x, y, gy * gy v from g),
 t as (select x, y, p.v xx, q.v xy, r.v yy from {_sql_separable('xx', focal.box(2))} p join {_sql_separable('xy', focal.box(2))} q using (x, y) join {_sql_separable('yy', focal.box(2))} r using (x, y))
@@ -302,18 +296,23 @@ ORACLES = {
     "hillshade": f"with {_A}, g as (select x, y, ({_sql_at('x', 1)} - {_sql_at('x', -1)}) / 2 gx, ({_sql_at('y', 1)} - {_sql_at('y', -1)}) / 2 gy from a) select x, y, round(greatest(0, ({_SHADE_Z} - gx * {_SHADE_X} - gy * {_SHADE_Y}) / sqrt(1 + gx * gx + gy * gy)), 6) shade from g",
     "structure_tensor": _TENSOR,
     "block_avg": f"with {_A} select cast(x // 5 as bigint) x, cast(y // 4 as bigint) y, round(avg(v), 6) v from a group by 1, 2",
-    "nearest_resize": f"with {_A}, o as (select i x, j y, i * 50 // 33 sx, j * 40 // 17 sy from range(33) p(i), range(17) q(j)) select o.x, o.y, a.v from o join a on a.x = sx and a.y = sy",
-    "bilinear": f"with {_B}, p as (select s_suppkey, s_suppkey * 0.49::double px, s_suppkey * 7 % 39 + 0.25::double py from supplier where s_suppkey * 0.49::double < 49), t as (select *, case when i = 1 then px - floor(px) else 1 - (px - floor(px)) end * case when j = 1 then py - floor(py) else 1 - (py - floor(py)) end w, least(greatest(floor(px) + i, 0), 49) tx, least(greatest(floor(py) + j, 0), 39) ty from p, range(2) q(i), range(2) z(j)) select s_suppkey, round(sum(w * v), 6) v from t join a on a.x = tx and a.y = ty group by 1",
-    "mitchell": f"with {_B}, tx as (select * from (values {_TAPS(50, 80)}) v(o, s, w)), ty as (select * from (values {_TAPS(40, 64)}) v(o, s, w)), h as (select tx.o x, a.y, sum(w * v) v from a join tx on a.x = tx.s group by 1, 2) select cast(x as bigint) x, cast(ty.o as bigint) y, round(sum(w * v), 6) v from h join ty on h.y = ty.s group by 1, 2",
+    "nearest_resize": f"with {_A}, n as (select {_HEIGHT} n, greatest(1, {_HEIGHT} * 17 // 40) p), o as (select i x, unnest(range(cast(p as bigint))) y, n, p from n, range(33) q(i)) select o.x, o.y, a.v from o join a on a.x = o.x * 50 // 33 and a.y = o.y * n // p",
+    "bilinear": f"with {_A}, n as (select {_HEIGHT} n), p as (select s_suppkey, s_suppkey * 0.49::double % 49 px, s_suppkey * 7 % greatest(1, n - 1) + 0.25::double py, n from supplier, n), t as (select *, case when i = 1 then px - floor(px) else 1 - (px - floor(px)) end * case when j = 1 then py - floor(py) else 1 - (py - floor(py)) end w, least(greatest(floor(px) + i, 0), 49) tx, least(greatest(floor(py) + j, 0), n - 1) ty from p, range(2) q(i), range(2) z(j)) select s_suppkey, round(sum(w * v), 6) v from t join a on a.x = tx and a.y = ty group by 1",
+    "mitchell": f"with {_A}, {_sql_taps('tx', '50', '80')}, {_sql_taps('ty', _HEIGHT, f'{_HEIGHT} * 8 // 5')}, h as (select tx.o x, a.y, sum(w * v) v from a join tx on a.x = tx.s group by 1, 2) select x, cast(ty.o as bigint) y, round(sum(w * v), 6) v from h join ty on h.y = ty.s group by 1, 2",
     "priority_mosaic": f"""with {_A}, k as (select *, x + y * 50 k from a), b as (select *, case when k % 11 <> 0 then v end e0 from k), c as (select *, case when k % 3 = 0 then v + 5 else e0 end e1 from b),
 e as (select *, case when k % 5 >= 2 then e1 when e1 is null then v * 2 else e1 * (1 - k % 7 / 6.0::double) + v * 2 * (k % 7 / 6.0::double) end e2 from c) select x, y, round(case when k % 13 <> 0 then e2 when e2 is null then -1 else e2 * 0.5 - 0.5 end, 6) v from e""",
     "masked_flatten": f"with {_A}, p as (select x, y, v * m v from a), q as (select x, y, m::double v from a) select x, y, round(case when m = 1 then a.v * coalesce(pow(least(greatest(30 / nullif(l.v / nullif(n.v, 0), 0), 0.72), 1.45), 0.75::double), 1) else a.v end, 6) v from a join {_sql_separable('p', focal.gaussian(1.5))} l using (x, y) join {_sql_separable('q', focal.gaussian(1.5))} n using (x, y)",
     "pip_mask": f"with {_A} select x, y from a where ({_INSIDE}) % 2 = 1",
     "densify": f"with {_LINES}, n as (select *, cast(greatest(1, ceil(len / 1.5)) as int) n from sl), k as (select *, unnest(range(n)) k from n) select line, i, cast(k as int) k, round(x1 + (x2 - x1) * k / n, 6) x, round(y1 + (y2 - y1) * k / n, 6) y from k",
-    "line_raster": f"with {_LINES}, c as (select *, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len), 0), 1) t from sl, range(-2, 80) p(px), range(-2, 80) q(py) where line < 40) select cast(px as int) x, cast(py as int) y, max(line % 9)::double weight from c where sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2)) <= 0.75 group by 1, 2",
+    "line_raster": f"with {_LINES}, b as (select *, unnest(range(cast(floor(least(x1, x2) - 1) as bigint), cast(ceil(greatest(x1, x2) + 2) as bigint))) px from sl), c0 as (select *, unnest(range(cast(floor(least(y1, y2) - 1) as bigint), cast(ceil(greatest(y1, y2) + 2) as bigint))) py from b), c as (select *, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len), 0), 1) t from c0) select cast(px as int) x, cast(py as int) y, max(line % 9)::double weight from c where sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2)) <= 0.75 group by 1, 2",
     "arc_lamps": f"with {_LINES}, e as (select *, sum(len) over (partition by line order by i) fin from sl), k as (select *, fin - len ini, unnest(range(60)) k from e) select line, k, round(x1 + (x2 - x1) * (0.4 + k * 2.7 - ini) / len, 5) x, round(y1 + (y2 - y1) * (0.4 + k * 2.7 - ini) / len, 5) y from k where 0.4 + k * 2.7 >= ini and 0.4 + k * 2.7 < fin",
     "splat": "with p as (select c_custkey % 40 + 0.3::double px, c_custkey * 7 % 30 + 0.6::double py, (c_custkey % 10)::double tone from customer), s as (select cast(floor(px) as bigint) + i x, cast(floor(py) as bigint) + j y, tone, exp(-(pow(floor(px) + i + 0.5 - px, 2) + pow(floor(py) + j + 0.5 - py, 2)) / 0.98) w from p, range(-1, 2) a(i), range(-1, 2) b(j)) select x, y, round(sum(w), 5) weight, round(sum(w * tone) / sum(w), 5) tone from s group by 1, 2",
-    "nearest_confidence": "with p as (select c_custkey, (c_custkey % 97 * 10)::double px, (c_custkey * 13 % 89 * 10)::double py from customer), t as (select (s_suppkey * 31 % 900)::double tx, (s_suppkey * 17 % 700)::double ty from supplier) select c_custkey, round(case when min(pow(px - tx, 2) + pow(py - ty, 2)) <= 75 * 75 then exp(-min(pow(px - tx, 2) + pow(py - ty, 2)) / 625) else 0 end, 6) confidence from p, t group by 1",
-    "nearest_fill": f"with {_A} select g.x, g.y, n.v from (select * from a where (x * 7 + y * 3) % 3 = 0) g join (select * from a where (x * 7 + y * 3) % 3 <> 0) n on abs(n.x - g.x) <= 2 and abs(n.y - g.y) <= 2 qualify row_number() over (partition by g.x, g.y order by (n.x - g.x) * (n.x - g.x) + (n.y - g.y) * (n.y - g.y), n.y, n.x) = 1",
+    "nearest_confidence": "with p as (select c_custkey, (c_custkey % 97 * 10)::double px, (c_custkey * 13 % 89 * 10)::double py from customer), t as (select (s_suppkey * 31 % 900)::double tx, (s_suppkey * 17 % 700)::double ty from supplier) select c_custkey, round(exp(-min(pow(px - tx, 2) + pow(py - ty, 2)) / 625), 6) confidence from p, t group by 1",
+    "nearest_fill": f"with {_A}, g as (select *, (x * 7 + y * 3) % 3 = 0 or (x >= 12 and x < 24 and y % 20 >= 4 and y % 20 < 12) gap from a) select g.x, g.y, n.v from (select * from g where gap) g join (select * from g where not gap) n on true qualify row_number() over (partition by g.x, g.y order by (n.x - g.x) * (n.x - g.x) + (n.y - g.y) * (n.y - g.y), n.y, n.x) = 1",
+    # A cell's distance is replaced while a shorter one is found.
+    "geodesic": f"""with recursive {_A}, w as (select x, y from a where m = 1), d(x, y, dist) using key (x, y) as (select x, y, 0.0::double from w where x % 10 = 0
+  union (select n.x, n.y, min(d.dist + case when n.x <> d.x and n.y <> d.y then 1.562 when n.x <> d.x then 1.0 else 1.2 end::double) from d join w n on abs(n.x - d.x) <= 1 and abs(n.y - d.y) <= 1 and (n.x <> d.x or n.y <> d.y)
+    left join recurring.d o on o.x = n.x and o.y = n.y where o.dist is null or d.dist + case when n.x <> d.x and n.y <> d.y then 1.562 when n.x <> d.x then 1.0 else 1.2 end::double < o.dist - 1e-9 group by n.x, n.y))
+select x, y, round(dist, 6) dist from d""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "geodesic", "nearest_resize_whole", "bilinear_whole", "mitchell_whole", "line_raster_whole"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

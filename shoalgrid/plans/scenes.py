@@ -47,8 +47,7 @@ def argmax_first(spark, d):
 
 
 def split_rank(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    c = table(spark, d, "customer").withColumn("half", (F.row_number().over(w) - 1) % 2)
+    c = scenes.numbered(table(spark, d, "customer").select("c_nationkey", "c_acctbal", "c_custkey"), ["c_nationkey"], ["c_acctbal", "c_custkey"], "i").withColumn("half", (F.col("i") % 2).cast("int"))
     return c.groupBy("c_nationkey", "half").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
 
 
@@ -262,16 +261,14 @@ def lag_bins(spark, d):
     scene = spark.range(30).select(F.col("id").alias("scene"), (F.col("id") * 97 % 31).alias("tide"))
     bins = spark.range(8, 20).withColumnRenamed("id", "bin").crossJoin(scene).withColumn("lagged", F.col("tide") * 10 - F.col("bin") * (F.col("scene") % 3))
     ordered = bins.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("lagged", "scene")) - 1)
-    return lines.join(F.broadcast(ordered), "bin").filter("rank < 3").select("s_suppkey", "bin", "scene", "rank")
+    return lines.join(F.broadcast(ordered), "bin").select("s_suppkey", "bin", "scene", "rank")
 
 
 def hysteresis_pair(spark, d):
-    """For each rising row the falling one within 5 of its level with the largest gap in value, the first on ties."""
-    c = table(spark, d, "customer").select(F.col("c_acctbal").alias("level"), F.col("c_custkey").alias("value"))
-    pairs = scenes.close_pairs(c, F.col("value") % 2 == 0, F.col("value") % 2 == 1, "level", "value", 5.0)
-    gap = F.abs(F.col("a_value") - F.col("b_value"))
-    best = pairs.groupBy("a_value").agg(F.max(F.struct(gap.alias("gap"), (-F.col("b_value")).alias("b"))).alias("m"))
-    return best.select(F.col("a_value").alias("rising"), (-F.col("m.b")).alias("falling"), F.col("m.gap").alias("gap"))
+    """For each rising row the falling one within 5.00 of its level with the largest gap in value, the first on ties. Levels in whole cents."""
+    c = table(spark, d, "customer").select(F.round(F.col("c_acctbal") * 100).cast("long").alias("level"), F.col("c_custkey").alias("value"))
+    best = scenes.furthest_partner(c, F.col("value") % 2 == 0, F.col("value") % 2 == 1, "level", "value", 500)
+    return best.select(F.col("value").alias("rising"), F.col("partner").alias("falling"), "gap")
 
 
 def band_tiles(spark, d):
@@ -348,9 +345,9 @@ def bitpack_popcount(spark, d):
 
 def size_estimate(spark, d):
     """From 20 rows at even strides of each key, what all of them come to."""
-    w = Window.partitionBy("source")
-    docs = table(spark, d, "documents").select("source", "n_chars", F.row_number().over(w.orderBy("doc_id")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    some = docs.filter((F.col("i") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / 20)) == 0)
+    docs = scenes.numbered(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "i")
+    sizes = table(spark, d, "documents").groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    some = docs.join(sizes, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / 20)) == 0)
     return some.groupBy("source").agg(F.round(F.avg("n_chars") * F.max("n"), 2).alias("estimate"))
 
 
@@ -425,8 +422,8 @@ select event_type, cast(low_mode as int) low_mode, cast(high_mode as int) high_m
     "coverage_gate": f"select cast(x // 5 as bigint) cx, cast(y // 4 as bigint) cy, round(avg(case when p_partkey * 7 % 10 < 4 then 1.0 else 0.0 end), 6) coverage from {_A} group by 1, 2 having avg(case when p_partkey * 7 % 10 < 4 then 1.0 else 0.0 end) >= 0.3",
     "subset_semi": "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 9000)",
     "aligned_rasters": f"select x, y, p_size * coalesce(n, 0) product from {_A} left join (select l_partkey % 50 x, l_partkey // 50 % 40 y, count(*) n from lineitem group by 1, 2) using (x, y)",
-    "lag_bins": "select s_suppkey, cast(bin as bigint) bin, scene, rank from (select s_suppkey, floor((40 + s_suppkey % 13 * 4) / 5::double + 0.5) bin from supplier) join (select bin, scene, row_number() over (partition by bin order by id97 * 10 - bin * (scene % 3), scene) - 1 as rank from range(8, 20) r(bin), (select s scene, s * 97 % 31 id97 from range(30) q(s))) using (bin) where rank < 3",
-    "hysteresis_pair": "select a.c_custkey rising, b.c_custkey falling, abs(a.c_custkey - b.c_custkey) gap from customer a join customer b on a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and abs(a.c_acctbal - b.c_acctbal) <= 5 qualify row_number() over (partition by a.c_custkey order by abs(a.c_custkey - b.c_custkey) desc, b.c_custkey) = 1",
+    "lag_bins": "select s_suppkey, cast(bin as bigint) bin, scene, rank from (select s_suppkey, floor((40 + s_suppkey % 13 * 4) / 5::double + 0.5) bin from supplier) join (select bin, scene, row_number() over (partition by bin order by id97 * 10 - bin * (scene % 3), scene) - 1 as rank from range(8, 20) r(bin), (select s scene, s * 97 % 31 id97 from range(30) q(s))) using (bin)",
+    "hysteresis_pair": "select a.c_custkey rising, b.c_custkey falling, abs(a.c_custkey - b.c_custkey) gap from customer a join customer b on a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and abs(cast(round(a.c_acctbal * 100) as bigint) - cast(round(b.c_acctbal * 100) as bigint)) <= 500 qualify row_number() over (partition by a.c_custkey order by abs(a.c_custkey - b.c_custkey) desc, b.c_custkey) = 1",
     "band_tiles": f"select distinct cast(y // 4 as bigint) ty from {_A} where exists (select 1 from (values (3, 9), (20, 22), (37, 38)) v(lo, hi) where y // 4 * 4 <= hi and y // 4 * 4 + 3 >= lo)",
     "complement_anti": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)",
     "parameter_grid": "select a * 10 tau0, b * 2 slope, r_regionkey from range(7) p(a), range(7) q(b), region",

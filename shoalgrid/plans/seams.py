@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import focal, seams
-from shoalgrid.plans.raster import _A, _B, _cells, _height, _sql_at, _sql_separable
+from shoalgrid.plans.raster import _A, _HEIGHT, _cells, _height, _sql_at, _sql_separable, _sql_spline
 from shoalgrid.session import table
 
 
@@ -24,13 +24,7 @@ def contour_lines(spark, d):
 
 
 def transect(spark, d):
-    s = F.col("s_suppkey")
-    lines = table(spark, d, "supplier").select("s_suppkey", (s % 50).cast("double").alias("x0"), (s * 7 % 41).cast("double").alias("y0"), (s * 3 % 53).cast("double").alias("x1"), (s * 11 % 37).cast("double").alias("y1"))
-    return seams.transect(lines, _cells(spark, d).filter("y < 20"), "v", "s_suppkey", 17, (50, 20))
-
-
-def transect_whole(spark, d):
-    """transect over all rows (its SQL is of 20), with lines spread over them; some ends lie beyond the raster."""
+    """Lines spread over all rows; some ends lie beyond the raster."""
     height = _height(spark, d)
     s = F.col("s_suppkey")
     ends = {"x0": s % 50, "y0": s * 7 % (height + 1), "x1": s * 3 % 53, "y1": s * 11 % max(1, height - 3)}
@@ -50,24 +44,15 @@ def shoal_skirt(spark, d):
 
 def spline_resample(spark, d):
     """Smoothed a little, then the cubic spline through the cells, across and down."""
-    c = focal.separable(_cells(spark, d).filter("y < 20").select("x", "y", "v"), "v", focal.gaussian(0.75))
-    c = focal.resample(c, "v", "x", 50, 80, focal.spline_taps)
-    return focal.resample(c, "v", "y", 20, 33, focal.spline_taps).select("x", "y", F.round("v", 6).alias("v"))
-
-
-def spline_resample_whole(spark, d):
-    """spline_resample over all rows; its SQL is of 20."""
     height = _height(spark, d)
     c = focal.separable(_cells(spark, d).select("x", "y", "v"), "v", focal.gaussian(0.75))
-    c = focal.resample(c, "v", "x", 50, 80, focal.spline_taps)
-    return focal.resample(c, "v", "y", height, height * 33 // 20, focal.spline_taps).select("x", "y", F.round("v", 6).alias("v"))
+    return focal.resample(focal.resample(c, "v", "x", 50, 80, True), "v", "y", height, height * 33 // 20, True).select("x", "y", F.round("v", 6).alias("v"))
 
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
 _SLOPES = f"g as (select x, y, v, greatest(abs({_sql_at('x', 1)} - v) + abs({_sql_at('y', 1)} - v), 0.0008::double) s from a)"
 _BYTE = lambda x: f"least(greatest(floor({x} + 0.5::double), 0), 255)"
-_SPLINE = lambda n, p: ", ".join(f"({o}, {s}, {w!r}::double)" for o, s, w in focal.spline_taps(n, p))
 
 
 def _sql_skirt():
@@ -82,9 +67,9 @@ ORACLES = {
 c as (select *, case when e >= -0.05 then 0 else {_BYTE('255.0::double * case when -e < 15 then 0.5::double * pow(-e / 15, 0.6::double) else 0.5::double + 0.5::double * (t * t * (3 - 2 * t)) end')} end code from w),
 b as {_sql_separable('c', focal.gaussian(1.5))} select x, y, cast({_BYTE('v * code + (1 - v) * o')} as int) code from b""",
     "contour_lines": f"with {_A}, {_SLOPES} select x, y, round(1 - least(greatest((0.5 - abs(v / 7.5::double - floor(v / 7.5::double) - 0.5)) / (s / 7.5::double * 1.1::double), 0), 1), 6) line, round(1 - least(greatest(abs(v - 22) / (s * 2.2::double), 0), 1), 6) edge from g",
-    "transect": f"with {_A}, l as (select s_suppkey, (s_suppkey % 50)::double x0, (s_suppkey * 7 % 41)::double y0, (s_suppkey * 3 % 53)::double x1, (s_suppkey * 11 % 37)::double y1 from supplier), p as (select s_suppkey, cast(k as int) k, least(greatest(floor(x0 + (x1 - x0) * (k / 16.0::double)), 0), 49) px, least(greatest(floor(y0 + (y1 - y0) * (k / 16.0::double)), 0), 19) py from l, range(17) r(k)) select s_suppkey, k, v from p join a on a.x = px and a.y = py",
+    "transect": f"with {_A}, n as (select {_HEIGHT} n), l as (select s_suppkey, n, (s_suppkey % 50)::double x0, (s_suppkey * 7 % (n + 1))::double y0, (s_suppkey * 3 % 53)::double x1, (s_suppkey * 11 % greatest(1, n - 3))::double y1 from supplier, n), p as (select s_suppkey, cast(k as int) k, least(greatest(floor(x0 + (x1 - x0) * (k / 16.0::double)), 0), 49) px, least(greatest(floor(y0 + (y1 - y0) * (k / 16.0::double)), 0), n - 1) py from l, range(17) r(k)) select s_suppkey, k, v from p join a on a.x = px and a.y = py",
     "image_difference": f"with {_A}, c as (select y, abs(v - (v * 13 + x) % 51) c from a) select y, count(*) n, round(avg(c), 6) mean, round(stddev_pop(c), 6) deviation from c where c > 6 group by 1",
     "shoal_skirt": _sql_skirt(),
-    "spline_resample": f"with {_B}, f as (select x, y, v from a where y < 20), s as {_sql_separable('f', focal.gaussian(0.75))}, tx as (select * from (values {_SPLINE(50, 80)}) v(o, s, w)), ty as (select * from (values {_SPLINE(20, 33)}) v(o, s, w)), h as (select tx.o x, s.y, sum(w * v) v from s join tx on s.x = tx.s group by 1, 2) select cast(x as bigint) x, cast(ty.o as bigint) y, round(sum(w * v), 6) v from h join ty on h.y = ty.s group by 1, 2",
+    "spline_resample": f"with {_A}, f as (select x, y, v from a), s as {_sql_separable('f', focal.gaussian(0.75))}, {_sql_spline('tx', '50', '80')}, {_sql_spline('ty', _HEIGHT, f'{_HEIGHT} * 33 // 20')}, h as (select tx.o x, s.y, sum(w * v) v from s join tx on s.x = tx.s group by 1, 2) select x, cast(ty.o as bigint) y, round(sum(w * v), 6) v from h join ty on h.y = ty.s group by 1, 2",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "transect_whole", "spline_resample_whole"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

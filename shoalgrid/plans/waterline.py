@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shoalgrid.lineage import cut
 from shoalgrid.operators import scenes, stepfit
 from shoalgrid.plans.scenes import PLACES, _raster
 from shoalgrid.session import table
 
 N = 30
-GRID = [(tau0, slope) for tau0 in (40, 60, 80) for slope in (0, 2, 4)]
-FINAL_GRID = [(tau0, slope) for tau0 in range(20, 81, 10) for slope in range(7)]
+GRID = [(tau0, slope) for tau0 in range(20, 81, 10) for slope in range(7)]
 BANDS = ((0, 750), (750, 1000), (1000, 1500), (1500, 2000), (2000, 9000))
 
 
-def stack(spark, d, every: int = 1):
-    part = table(spark, d, "part").filter(F.col("p_partkey") % every == 0).select(F.col("p_partkey").alias("pixel"), "p_size")
+def stack(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("pixel"), "p_size")
     p = part.select("pixel", "p_size", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("p"))
     tide = F.floor(F.col("p") * 2300 / F.lit(N - 1))
     v = ((F.col("pixel") * 7 + F.col("p") * 13) % 37 != 0).cast("int")
@@ -45,7 +45,7 @@ def step_fit_class(spark, d):
 
 
 def _scored(spark, d):
-    return stepfit.confusion(stepfit.leave_one_out(stack(spark, d), N), ["p"], F.col("wet") == 1)
+    return stepfit.held_out_confusion(stack(spark, d), N)
 
 
 def loo_iou(spark, d):
@@ -75,63 +75,42 @@ def place_scores(spark, d):
     return stepfit.confusion(rows, ["place"], F.col("wet") == 1).select("place", F.round(stepfit.overlap(), 6).alias("iou"), (F.col("fp") + F.col("fn")).alias("errors"))
 
 
-def _grid(spark, d):
-    """Each pixel's scenes in the order of its lag bin, for every parameter pair; the orders are a dimension of bins and scenes."""
-    grid = spark.createDataFrame(GRID, "tau0 int, slope int")
-    bins = F.floor((F.col("tau0") + F.col("slope") * (F.col("pixel") % 13)) / 5 + F.lit(0.5)).cast("int")
-    lines = table(spark, d, "part").filter("p_partkey % 8 = 0").select(F.col("p_partkey").alias("pixel")).crossJoin(F.broadcast(grid)).withColumn("bin", bins)
-    lagged = F.col("tide") * 10 - F.col("bin") * (F.col("p") % 3) * 40
-    orders = spark.range(8, 27).select(F.col("id").cast("int").alias("bin")).crossJoin(tides(spark))
-    orders = orders.select("bin", F.col("p").alias("scene"), (F.row_number().over(Window.partitionBy("bin").orderBy(lagged, "p")) - 1).alias("p"))
-    obs = stack(spark, d, 8).select("pixel", F.col("p").alias("scene"), "v", "w")
-    rows = lines.join(F.broadcast(orders), "bin").join(obs, ["pixel", "scene"])
-    return rows.select("tau0", "slope", "pixel", "scene", "p", "v", "w")
-
-
-def _grid_scores(spark, d):
-    rows = _grid(spark, d)
-    loo = stepfit.leave_one_out(rows, N, ("tau0", "slope", "pixel"))
-    loo = loo.join(rows.select("tau0", "slope", "pixel", "p", "scene"), ["tau0", "slope", "pixel", "p"])
-    return stepfit.confusion(loo, ["tau0", "slope", "scene"], F.col("wet") == 1).withColumn("iou", F.round(stepfit.overlap(), 9))
-
-
-def _final_grid_scores(spark, d):
-    """The scores of FINAL_GRID over the whole stack. A pixel's lag bin follows from the pair and from pixel % 13, so pairs that share a bin share its fits;
-    counts are taken for each bin and residue and then added up for each pair."""
-    pairs = [(tau0, slope, m, int((tau0 + slope * m) / 5 + 0.5)) for tau0, slope in FINAL_GRID for m in range(13)]
-    dealt = spark.createDataFrame(pairs, "tau0 int, slope int, m int, bin int")
-    lagged = F.col("tide") * 10 - F.col("bin") * (F.col("p") % 3) * 40
-    orders = dealt.select("bin").distinct().crossJoin(tides(spark))
-    orders = orders.select("bin", F.col("p").alias("scene"), (F.row_number().over(Window.partitionBy("bin").orderBy(lagged, "p")) - 1).alias("p"))
-    obs = stack(spark, d).select("pixel", (F.col("pixel") % 13).cast("int").alias("m"), F.col("p").alias("scene"), "v", "w").repartition("pixel")
-    placed = dealt.select("m", "bin").distinct().join(orders, "bin")
-    rows = obs.join(F.broadcast(placed), ["m", "scene"]).select("bin", "m", "pixel", "p", "v", "w")
-    loo = stepfit.leave_one_out(rows, N, ("bin", "m", "pixel")).join(F.broadcast(orders), ["bin", "p"])
-    counts = stepfit.confusion(loo, ["bin", "m", "scene"], F.col("wet") == 1)
-    total = counts.join(F.broadcast(dealt), ["bin", "m"]).groupBy("tau0", "slope", "scene").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    return total.withColumn("iou", F.round(stepfit.overlap(), 9))
+def lag_orders(spark, bins, scenes_of=None):
+    """bin, scene, p (the scene's place in that bin's order) and level (its lagged tide) of each lag bin, the scenes being those of a condition: a small dimension."""
+    lagged = F.col("tide") * 10 - F.col("bin") * (F.col("scene") % 3) * 40
+    chosen = tides(spark).select(F.col("p").alias("scene"), "tide")
+    each = bins.select("bin").distinct().crossJoin(chosen if scenes_of is None else chosen.filter(scenes_of)).withColumn("level", lagged)
+    return each.select("bin", "scene", "level", (F.row_number().over(Window.partitionBy("bin").orderBy("level", "scene")) - 1).alias("p"))
 
 
-def _search(scores):
-    return scores.groupBy("tau0", "slope").agg(F.round(F.avg("iou"), 6).alias("iou"))
+def lag_bin(tau0, slope, way):
+    return F.floor((tau0 + slope * way) / 5 + F.lit(0.5)).cast("int")
 
 
-def lag_grid_search(spark, d):
-    """GRID on every eighth pixel, as its SQL has it; lag_grid_search_whole is the whole job."""
-    return _search(_grid_scores(spark, d))
+def _obs(spark, d):
+    return stack(spark, d).select("pixel", F.col("p").alias("scene"), "v", "w")
 
 
-def lag_grid_search_whole(spark, d):
-    return _search(_final_grid_scores(spark, d))
+def _grid_scores(spark, d, grid=GRID, scenes_of=None, n=N, obs=None):
+    """tau0, slope, scene and the held-out score of each. A pixel's lag bin follows from the pair and from its way, pixel % 13, so pairs that share a bin share its fits: counts are taken for
+    each bin and way, then added up for each pair."""
+    dealt = spark.createDataFrame([(*pair, way) for pair in grid for way in range(13)], "tau0 int, slope int, way int")
+    dealt = dealt.withColumn("bin", lag_bin(F.col("tau0"), F.col("slope"), F.col("way")))
+    orders = lag_orders(spark, dealt, scenes_of)
+    rows = (_obs(spark, d) if obs is None else obs).withColumn("way", (F.col("pixel") % 13).cast("int"))
+    rows = rows.join(F.broadcast(dealt.select("way", "bin").distinct().join(orders, "bin")), ["way", "scene"]).select("bin", "way", "pixel", "p", "v", "w")
+    counts = stepfit.held_out_confusion(rows, n, ("bin", "way", "pixel"), ("bin", "way")).join(F.broadcast(orders.select("bin", "p", "scene")), ["bin", "p"])
+    total = counts.join(F.broadcast(dealt), ["bin", "way"]).groupBy("tau0", "slope", "scene").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return total.withColumn("iou", F.round(stepfit.overlap(), 9))
 
 
-def nested_split_half(spark, d):
-    """GRID on every eighth pixel, as its SQL has it; nested_split_half_whole is the whole job."""
-    return _split_half(_grid_scores(spark, d))
+def lag_grid_search(spark, d):
+    """The mean held-out score of every lag and slope, fitted and scored on all scenes."""
+    return _grid_scores(spark, d).groupBy("tau0", "slope").agg(F.round(F.avg("iou"), 6).alias("iou"))
 
 
-def nested_split_half_whole(spark, d):
-    return _split_half(_final_grid_scores(spark, d))
+def nested_split_half(spark, d):
+    return _split_half(_grid_scores(spark, d))
 
 
 def _split_half(scores):
@@ -176,10 +155,17 @@ def wet_mean(spark, d):
     return rows.groupBy("pixel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_gray()), 6).alias("mean")).filter("n >= 3")
 
 
-def spectral_demote(spark, d):
-    means = wet_mean(spark, d).select("pixel", "mean")
+def spectral_classes(spark, d):
+    """pixel, cls_before, cls_after: intertidal pixels that look dry while the tide covers them are land. Fits and means come from one cut of the fits."""
+    fits = cut(classes(spark, d).select("pixel", "cls", "height"), "classes")
+    wet = stack(spark, d).join(fits.filter("cls = 128").select("pixel", "height"), "pixel").filter("v = 1 and tide > height")
+    means = wet.groupBy("pixel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_gray()), 6).alias("mean")).filter("n >= 3").select("pixel", "mean")
     cls = F.when((F.col("cls") == 128) & (F.col("mean") < 100), 255).otherwise(F.col("cls"))
-    return classes(spark, d).join(means, "pixel", "left").groupBy(F.col("cls").alias("cls_before"), cls.alias("cls_after")).agg(F.count(F.lit(1)).alias("n"))
+    return fits.join(means, "pixel", "left").select("pixel", F.col("cls").alias("cls_before"), cls.alias("cls_after"))
+
+
+def spectral_demote(spark, d):
+    return spectral_classes(spark, d).groupBy("cls_before", "cls_after").agg(F.count(F.lit(1)).alias("n"))
 
 
 def threshold_rules(spark, d):
@@ -215,12 +201,21 @@ _CONF = "sum(case when v = 1 and {y} and w = 1 then 1 else 0 end) tp, sum(case w
 _WET = _CONF.format(y="(p >= k)")
 _IOU = "coalesce(tp::double / nullif(tp + fp + fn, 0), 1)"
 _SCORE = f"with {_OBS}, {_sql_loo()}, s as (select p, {_WET} from loo group by 1)"
-_GRIDS = f"""with {_OBS}, g as (select * from (values {', '.join(map(str, GRID))}) v(tau0, slope)),
-ord as (select bin, scene, row_number() over (partition by bin order by tide * 10 - bin * (scene % 3) * 40, scene) - 1 p from range(8, 27) b(bin), (select s scene, s * 2300 // 29 tide from range(30) q(s))),
-go as (select tau0, slope, pixel, scene, ord.p, v, w from (select tau0, slope, p_partkey pixel, cast(floor((tau0 + slope * (p_partkey % 13)) / 5::double + 0.5) as bigint) bin from part, g where p_partkey % 8 = 0) join ord using (bin) join (select pixel, p as scene, v, w from obs) o using (pixel, scene)),
-{_sql_loo('go', 'tau0, slope, pixel', 'gl')},
-gs as (select tau0, slope, scene, {_WET.replace('(p >= k)', '(gl.p >= k)').replace('v = 1', 'gl.v = 1').replace('w = ', 'gl.w = ')} from gl join (select tau0, slope, pixel, p, scene from go) x using (tau0, slope, pixel, p) group by all),
-gi as (select *, round({_IOU}, 9) iou from gs)"""
+
+
+def _sql_grid(grid=GRID, name="g", scenes_of="true", n=N, obs="obs", extra=""):
+    """Relations ..s: tau0, slope, scene, tp, fp, fn, tn of every pair of a grid."""
+    return f"""{name}g as (select *, unnest(range(13)) way from (values {', '.join(map(str, grid))}) v(tau0, slope)),
+{name}b as (select *, cast(floor((tau0 + slope * way) / 5::double + 0.5) as bigint) bin from {name}g),
+{name}o as (select bin, scene, level, row_number() over (partition by bin order by level, scene) - 1 p from (select bin, scene, scene * 2300 // 29 * 10 - bin * (scene % 3) * 40 as level from (select distinct bin from {name}b), range({N}) q(scene) where {scenes_of})),
+{name}p as (select b.bin, b.way, o.pixel, {name}o.p, o.v, o.w, scene from (select pixel, p scene, v, w, pixel % 13 way from {obs}) o join (select distinct bin, way from {name}b) b using (way) join {name}o using (bin, scene)),
+{_sql_loo(f'{name}p', 'bin, way, pixel', f'{name}l').replace(f', {N}, 0, 0 from', f', {n}, 0, 0 from').replace(f'where p < {N})', f'where p < {n})')},
+{name}c as (select bin, way, p, {_WET} from {name}l group by all),
+{name}s as (select tau0, slope, scene, sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(tn) tn from {name}c join {name}b using (bin, way) join (select bin, p, scene from {name}o) using (bin, p) group by all),
+{name}i as (select *, round({_IOU}, 9) iou from {name}s)"""
+
+
+_GRIDS = f"with {_OBS}, {_sql_grid()}"
 _PLACES = ", ".join(f"('{p}', {w}, {s}, {e}, {n})" for p, w, s, e, n in PLACES)
 
 
@@ -246,7 +241,7 @@ ORACLES = {
     "error_frequency": f"with {_OBS}, {_sql_loo()} select pixel, cast(least(255, sum(case when (p >= k) <> (w = 1) then 1 else 0 end)) as bigint) errors from loo where v = 1 group by 1",
     "place_scores": f"with {_OBS}, {_sql_loo()}, s as (select place, {_WET} from loo join (values {_PLACES}) q(place, w0, s0, e0, n0) on pixel % 50 between w0 and e0 and pixel // 50 between s0 and n0 group by 1) select place, round({_IOU}, 6) iou, cast(fp + fn as bigint) errors from s",
     "lag_grid_search": f"{_GRIDS} select tau0, slope, round(avg(iou), 6) iou from gi group by 1, 2",
-    "nested_split_half": f"{_GRIDS}, gh as (select tau0, slope, scene % 2 half, round(avg(iou), 6) iou from gi group by all), gb as (select tau0, slope, 1 - half half, iou chosen from gh qualify row_number() over (partition by half order by iou desc, tau0, slope) = 1) select half, tau0, slope, chosen, iou held_out from gb join gh using (half, tau0, slope)",
+    "nested_split_half": f"{_GRIDS}, hh as (select tau0, slope, scene % 2 half, round(avg(iou), 6) iou from gi group by all), hb as (select tau0, slope, 1 - half half, iou chosen from hh qualify row_number() over (partition by half order by iou desc, tau0, slope) = 1) select half, tau0, slope, chosen, iou held_out from hb join hh using (half, tau0, slope)",
     "fair_compare": _sql_fair(),
     "hypsometry": f"with {_OBS}, {_CLS} select p, cast(sum(w) as bigint) observed, cast(sum(case when cls = 0 or (cls = 128 and height <= tide) then 1 else 0 end) as bigint) rebuilt from obs join cls using (pixel) where v = 1 group by 1",
     "hypsometry_dense": f"with {_OBS}, {_CLS} select t as level, cast(sum(case when cls = 0 or (cls = 128 and height <= t) then 1 else 0 end) as bigint) wet from cls, range(200, 2301, 50) r(t) group by 1",
@@ -254,4 +249,4 @@ ORACLES = {
     "spectral_demote": f"with {_OBS}, {_CLS}, m as (select pixel, count(*) n, avg((pixel * 3 + p * 5) % 256) mean from obs join (select pixel, height from cls where cls = 128) using (pixel) where v = 1 and tide > height group by 1 having count(*) >= 3) select cls cls_before, case when cls = 128 and round(mean, 6) < 100 then 255 else cls end cls_after, count(*) n from cls left join m using (pixel) group by all",
     "threshold_rules": f"with {_OBS}, own as (select * from {_RULE_OTSU}), mid as (select threshold middle from (select threshold, row_number() over (order by threshold) - 1 i, count(*) over () n from own) where i = n // 2) select p, cast(sum(case when g > threshold then 1 else 0 end) as bigint) own, cast(sum(case when g > middle then 1 else 0 end) as bigint) middle, cast(sum(case when g > 128 then 1 else 0 end) as bigint) fixed from (select *, (pixel * 3 + p * 5) % 256 g from obs where v = 1) join own using (p), mid group by 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "lag_grid_search_whole", "nested_split_half_whole"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

@@ -130,10 +130,11 @@ def test_darts_are_the_greedy_choice(spark):
 
 
 def test_streamlines_follow_a_line_field(spark):
-    field = np.zeros((20, 20, 2))
-    field[:, :, 0] = np.where(np.arange(20) % 2, 1.0, -1.0)[:, None]  # opposite directions are one line
-    got = flow.streamlines(spark.createDataFrame([(1, 10.0, 5.0)], "k int, px double, py double"), "k", field, 1.0, 4).collect()
-    assert sorted((r["i"], r["x"], r["y"]) for r in got) == [(i, 10.0 + i, 5.0) for i in range(-4, 5)]
+    cells = spark.createDataFrame([(x, y, 1.0 if y % 2 else -1.0, 0.0) for x in range(20) for y in range(20)], "x int, y int, u double, v double")  # opposite directions are one line
+    seed = spark.createDataFrame([(1, 10.0, 5.0)], "k int, px double, py double")
+    for tile in (4, 256):
+        got = flow.streamlines(seed, "k", cells, ("u", "v"), (20, 20), 1.0, 4, tile).collect()
+        assert sorted((r["i"], r["x"], r["y"]) for r in got) == [(i, 10.0 + i, 5.0) for i in range(-4, 5)]
 
 
 def test_turning_points_have_no_slope(spark):

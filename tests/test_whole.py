@@ -48,9 +48,9 @@ def _grid_by_hand():
 def test_lag_grid_takes_every_pixel_and_pair(spark):
     iou = _grid_by_hand()
     mean = lambda t, s, half: np.mean([x for (a, b, p), x in iou.items() if (a, b) == (t, s) and half in (None, p % 2)])
-    got = {(r["tau0"], r["slope"]): r["iou"] for r in run(spark, "lag_grid_search_whole")}
+    got = {(r["tau0"], r["slope"]): r["iou"] for r in run(spark, "lag_grid_search")}
     assert len(got) == 49 and all(x == pytest.approx(mean(*k, None), abs=2e-6) for k, x in got.items())
-    for r in run(spark, "nested_split_half_whole"):
+    for r in run(spark, "nested_split_half"):
         scores = {k: round(mean(*k, 1 - r["half"]), 6) for k in got}
         best = min(scores, key=lambda k: (-scores[k], k))
         assert (r["tau0"], r["slope"]) == best and r["held_out"] == pytest.approx(mean(*best, r["half"]), abs=2e-6)
@@ -89,9 +89,9 @@ def test_resampling_takes_the_whole_raster(spark):
     cells, height, keys = _raster_by_hand(LARGE)
     down = height * 17 // 40
     want = {(x, y): cells[at] for x in range(33) for y in range(down) if (at := (x * 50 // 33, y * height // down)) in cells}
-    assert {(r["x"], r["y"]): r["v"] for r in run(spark, "nearest_resize_whole", LARGE)} == want
+    assert {(r["x"], r["y"]): r["v"] for r in run(spark, "nearest_resize", LARGE)} == want
 
-    got = {r["s_suppkey"]: r["v"] for r in run(spark, "bilinear_whole", LARGE)}
+    got = {r["s_suppkey"]: r["v"] for r in run(spark, "bilinear", LARGE)}
     assert set(got) == set(keys)
     for k in keys:
         px, py = k * 0.49 % 49, k * 7 % (height - 1) + 0.25
@@ -105,7 +105,7 @@ def test_resampling_takes_the_whole_raster(spark):
     dense = lambda taps, n, p: np.array([sum(w * (np.arange(n) == s) for _, s, w in taps[i * 4 : i * 4 + 4]) for i in range(p)])
     p = height * 8 // 5
     want = dense(focal.taps(height, p), height, p) @ a @ dense(focal.taps(50, 80), 50, 80).T
-    got = run(spark, "mitchell_whole", LARGE)
+    got = run(spark, "mitchell", LARGE)
     assert len(got) == 80 * p and all(abs(want[r["y"], r["x"]] - r["v"]) < 2e-6 for r in got)
 
 
@@ -118,7 +118,7 @@ def test_transects_take_the_whole_raster(spark):
             at = tuple(int(min(max(np.floor(a + (b - a) * (k / 16)), 0), m - 1)) for a, b, m in ((x0, x1, 50), (y0, y1, height)))
             if at in cells:
                 want[s, k] = cells[at]
-    assert {(r["s_suppkey"], r["k"]): r["v"] for r in run(spark, "transect_whole", LARGE)} == want
+    assert {(r["s_suppkey"], r["k"]): r["v"] for r in run(spark, "transect", LARGE)} == want
 
 
 def test_splines_take_the_whole_raster(spark):
@@ -141,7 +141,7 @@ def test_splines_take_the_whole_raster(spark):
         return out
 
     want = matrix(height, p) @ np.nan_to_num(a) @ matrix(50, 80).T
-    got = {(q["x"], q["y"]): q["v"] for q in run(spark, "spline_resample_whole", LARGE)}
+    got = {(q["x"], q["y"]): q["v"] for q in run(spark, "spline_resample", LARGE)}
     assert len(got) == 80 * p
     rows = [y for y in range(p) if 30 < (y + 0.5) * height / p < inner]
     assert all(abs(got[x, y] - want[y, x]) < 2e-6 for y in rows for x in range(80))
@@ -158,4 +158,4 @@ def test_all_lines_are_rasterised(spark):
             t = np.clip(((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy), 0, 1)
             for x, y in np.argwhere((np.hypot(px - x1 - t * dx, py - y1 - t * dy) <= 0.75).T) - 2:
                 want[x, y] = max(want.get((x, y), 0.0), float(line % 9))
-    assert {(r["x"], r["y"]): r["weight"] for r in run(spark, "line_raster_whole", LARGE)} == want
+    assert {(r["x"], r["y"]): r["weight"] for r in run(spark, "line_raster", LARGE)} == want
