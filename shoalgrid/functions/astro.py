@@ -48,6 +48,28 @@ def moon_altitude(days: Column, lat: float, lon: float) -> Column:
     return altitude(ra, dec, days, lat, lon)
 
 
+def azimuth(right_ascension: Column, declination: Column, days: Column, lat: float, lon: float) -> Column:
+    """Degrees clockwise from north."""
+    turn = F.pmod(F.lit(18.697374558) + F.lit(24.06570982441908) * days, F.lit(24.0)) + F.lit(lon / 15)
+    hour = (turn - F.floor(turn / 24) * 24) * F.lit(15 * RAD) - right_ascension
+    south = F.atan2(F.sin(hour), F.cos(hour) * F.lit(math.sin(lat * RAD)) - F.tan(declination) * F.lit(math.cos(lat * RAD)))
+    return F.pmod(south / F.lit(RAD) + 180, F.lit(360.0))
+
+
+def sun_azimuth(days: Column, lat: float, lon: float) -> Column:
+    lam = sun_longitude(days)
+    return azimuth(F.atan2(F.lit(math.cos(_TILT)) * F.sin(lam), F.cos(lam)), F.asin(F.lit(math.sin(_TILT)) * F.sin(lam)), days, lat, lon)
+
+
+#: Days of a mean month, and a new moon (2000-01-06 18:14 UTC) in days from 2000-01-01 12:00.
+SYNODIC, NEW_MOON = 29.530588853, 5.259722222222222
+
+
+def moon_age(days: Column) -> Column:
+    """Days since the mean new moon."""
+    return F.pmod(days - F.lit(NEW_MOON), F.lit(SYNODIC))
+
+
 def moon_fraction(days: Column) -> Column:
     """Lit share of the disc."""
     return (F.lit(1.0) - F.cos(moon_latitude(days)) * F.cos(moon_longitude(days) - sun_longitude(days))) / F.lit(2.0)

@@ -41,7 +41,9 @@ NODAL = {
     "O1": ((1.0089, 0.1871, -0.0147, 0.0014), (10.80, -1.34, 0.19)),
     "K2": ((1.0246, 0.2863, 0.0083, -0.0015), (-17.74, 0.68, -0.04)),
     "J1": ((1.0129, 0.1676, -0.0170, 0.0016), (-12.94, 1.34, -0.19)),
+    "OO1": ((1.1027, 0.6504, 0.0317), (-36.68, 2.72)),
     "Mm": ((1.0, -0.130, 0.0013), ()),
+    "Mf": ((1.0429, 0.4135, -0.004), (-23.74, 2.68, -0.38)),
 }
 #: Which basic constituents' factors multiply (and phases add, with the sign given) for each; solar ones have none.
 NODAL_OF = {
@@ -52,6 +54,16 @@ NODAL_OF = {
     "MK3": (("M2", 1, 1), ("K1", 1, 1)),
     "MSF": (("M2", 1, -1),),
 }
+#: The same for species that the model leaves out but a fit may hold; those not named here or above have none.
+NODAL_OF_OTHERS = {**{c: (("O1", 1, 1),) for c in ("Q1", "M1", "RHO1", "SIGMA1")}, "OO1": (("OO1", 1, 1),), "Mf": (("Mf", 1, 1),), "SSA": (), "S4": (), "S2": (), "P1": (), "T2": (), "SA": ()}
+#: The constituents of a fit and their speeds (degrees an hour); hours count from 2025-01-01 UTC.
+FITTED = (
+    ("M2", 28.9841042), ("S2", 30.0), ("N2", 28.4397295), ("K2", 30.0821373), ("K1", 15.0410686), ("O1", 13.9430356), ("P1", 14.9589314), ("Q1", 13.3986609), ("2N2", 27.8953548), ("MU2", 27.9682084),
+    ("NU2", 28.5125831), ("L2", 29.5284789), ("T2", 29.9589333), ("S1", 15.0), ("J1", 15.5854433), ("M1", 14.4966939), ("OO1", 16.1391017), ("MF", 1.0980331), ("MM", 0.5443747), ("SSA", 0.0821373),
+    ("SA", 0.0410686), ("MSF", 1.0158958), ("M4", 57.9682084), ("MS4", 58.9841042), ("MN4", 57.4238337), ("M6", 86.9523127), ("2MS6", 87.9682084), ("S4", 60.0), ("MK3", 44.0251729), ("M3", 43.4761563),
+)
+#: Hours from the model's epoch to the fit's.
+FIT_EPOCH = 731 * 24.0
 #: Days from 2000-01-01 12:00 UTC to the epoch.
 _NODE_DAYS = 8400.5
 
@@ -80,6 +92,16 @@ def nodal_phase(name: str, n: Column) -> Column:
     return out * F.lit(math.pi / 180)
 
 
+def species(name: str, n: Column) -> tuple[Column, Column]:
+    """(factor, phase) of any species."""
+    size, angle = F.lit(1.0), F.lit(0.0)
+    for basic, power, times in (NODAL_OF | NODAL_OF_OTHERS)[name]:
+        for _ in range(power):
+            size = size * nodal_factor(basic, n)
+        angle = angle + F.lit(float(times)) * nodal_phase(basic, n)
+    return size, angle
+
+
 def _terms(hours: Column, nodal: bool = True):
     n = node_angle(hours)
     for name, speed, amplitude, phase in CONSTITUENTS:

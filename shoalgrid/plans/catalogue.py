@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("series", "scenes", "waterline", "selection", "raster", "seams", "surface", "model")
+MODULES: tuple[str, ...] = ("series", "scenes", "waterline", "selection", "raster", "seams", "surface", "shades", "files", "model")
 
 
 def _gather(kind: str) -> dict:
