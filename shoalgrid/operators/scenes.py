@@ -50,8 +50,8 @@ def histogram(rows: DataFrame, by: list[str], gray: Column) -> DataFrame:
     return rows.groupBy(*by, gray.cast("int").alias("gray")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def otsu(hist: DataFrame, by: list[str]) -> DataFrame:
-    """The threshold of each key's histogram (gray, n) with the largest variance between the classes, the first on ties; 128 if one class is always empty.
+def otsu(hist: DataFrame, by: list[str], initial: int = 128) -> DataFrame:
+    """The threshold of each key's histogram (gray, n) with the largest variance between the classes, the first on ties; `initial` if one class is always empty.
 
     Works on at most 256 rows a key, not on pixels."""
     run = Window.partitionBy(*by).orderBy("gray")
@@ -62,7 +62,7 @@ def otsu(hist: DataFrame, by: list[str]) -> DataFrame:
     gap = F.try_divide(F.col("sb"), F.col("wb")) - F.try_divide(F.col("s") - F.col("sb"), wf)
     t = t.withColumn("between", F.when((F.col("wb") > 0) & (wf > 0), F.col("wb").cast("double") * wf * gap * gap))
     best = F.max(F.when(F.col("between") > 0, F.struct(F.col("between"), (-F.col("gray")).alias("g"))))
-    return t.groupBy(*by).agg(F.coalesce(-best["g"], F.lit(128)).cast("int").alias("threshold"))
+    return t.groupBy(*by).agg(F.coalesce(-best["g"], F.lit(initial)).cast("int").alias("threshold"))
 
 
 def smoothed(hist: DataFrame, by: list[str], radius: int = 4, levels: int = 256) -> DataFrame:

@@ -37,12 +37,24 @@ class _Curves:
     def __init__(self, codes: np.ndarray, sizes: np.ndarray, n: int):
         self.row, self.p = np.repeat(np.arange(len(sizes)), sizes), codes >> 2
         self.v, self.w = (codes >> 1) & 1, codes & 1
-        seen, wet = np.zeros((len(sizes), n), np.int32), np.zeros((len(sizes), n), np.int32)
-        seen[self.row, self.p], wet[self.row, self.p] = self.v, self.w
-        self.valid = seen.sum(axis=1)
-        self.err = np.zeros((len(sizes), n + 1), np.int32)
-        np.cumsum(2 * wet - seen, axis=1, out=self.err[:, 1:])
-        self.err += (self.valid - wet.sum(axis=1))[:, None]
+        self.seen, self.wet = np.zeros((len(sizes), n), np.int32), np.zeros((len(sizes), n), np.int32)
+        self.seen[self.row, self.p], self.wet[self.row, self.p] = self.v, self.w
+        self._curve()
+
+    def _curve(self) -> None:
+        self.valid = self.seen.sum(axis=1)
+        self.err = np.zeros((self.seen.shape[0], self.seen.shape[1] + 1), np.int32)
+        np.cumsum(2 * self.wet - self.seen, axis=1, out=self.err[:, 1:])
+        self.err += (self.valid - self.wet.sum(axis=1))[:, None]
+
+    def reordered(self, rows: np.ndarray, scenes: list[int]) -> "_Curves":
+        """The curves of some pixels with some scenes in another order; entries are what was seen."""
+        out = object.__new__(_Curves)
+        out.seen, out.wet = self.seen[np.ix_(rows, scenes)], self.wet[np.ix_(rows, scenes)]
+        out.row, out.p = np.nonzero(out.seen)
+        out.v, out.w = np.ones(len(out.p), np.int64), out.wet[out.row, out.p].astype(np.int64)
+        out._curve()
+        return out
 
     def held_out(self) -> np.ndarray:
         """The cut that all other observations of the pixel give, for each observation."""
@@ -133,6 +145,34 @@ def held_out_confusion(obs: DataFrame, n: int, by: tuple[str, ...] = ("pixel",),
     return parts.groupBy(*keep, "p").agg(*[F.sum(c).alias(c) for c in names])
 
 
+def held_out_orders(obs: DataFrame, n: int, group: str, orders: dict[int, list[int]], of_group: dict[int, list[int]], by: tuple[str, ...] = ("pixel",)) -> DataFrame:
+    """group, order, scene, tp, fp, fn and tn of every order of scenes that a pixel's group is fitted in. obs: by, group (a whole number), p (the scene), v, w; orders: some or all scenes in turn.
+
+    A pixel's observations are packed once and put in each order in memory, so a grid of parameters costs no more shuffling than one fit. Orders are a table of parameters, not of data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for some, curves in _each(batches, n):
+            groups = some.column(group).to_numpy(zero_copy_only=False)
+            for g in np.unique(groups).tolist():
+                rows = np.flatnonzero(groups == g)
+                for o in of_group.get(g, ()):
+                    mine = curves.reordered(rows, orders[o])
+                    said = mine.p >= mine.held_out()
+                    counts = np.bincount(mine.p * 4 + np.where(said, 1 - mine.w, 3 - mine.w), minlength=4 * len(orders[o])).reshape(-1, 4)
+                    totals[g, o] = totals.get((g, o), 0) + counts
+        for (g, o), counts in totals.items():
+            m = len(orders[o])
+            fixed = [pa.array(np.full(m, g, np.int32)), pa.array(np.full(m, o, np.int32)), pa.array(np.array(orders[o], np.int32))]
+            yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(counts[:, i].astype(np.int64)) for i in range(4)]], [group, "order", "scene", "tp", "fp", "fn", "tn"])
+
+    ship(obs.sparkSession)
+    rows = packed(obs.withColumn(group, F.col(group).cast("int")), (*by, group))
+    names = ("tp", "fp", "fn", "tn")
+    parts = rows.mapInArrow(run, f"{group} int, `order` int, scene int, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy(group, "order", "scene").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def classify(fits: DataFrame, tides: DataFrame, n: int) -> DataFrame:
     """fits with cls and height: half way between the tides on both sides of the cut. tides: p and tide, one row for each of the n scenes, which become one array value."""
     levels = tides.agg(F.array_sort(F.collect_list(F.struct("p", "tide"))).alias("steps")).select(F.col("steps.tide").alias("_levels"))

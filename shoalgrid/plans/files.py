@@ -9,6 +9,7 @@ from shoalgrid.plans.raster import _A, _cells, _height
 from shoalgrid.plans.series import _H, _orders
 from shoalgrid.plans.waterline import _CLS, _OBS, N, classes, stack
 from shoalgrid.session import table
+from shoalgrid.shipping import ship
 from shoalgrid.sources import planes, rasters
 
 #: Colours of a preview by class, and stops of the height ramp (metres, bytes).
@@ -50,6 +51,40 @@ def plane_stack(spark, d):
     return rasters.stack_of_planes(both, listed).groupBy("scene", "tide").agg(F.count(F.lit(1)).alias("valid"), F.sum("w").alias("water"), F.sum("pixel").alias("pixels"))
 
 
+def masked_bytes(spark, d):
+    """Gray levels with their mask, a file a scene, read back."""
+    obs = stack(spark, d).select(F.col("p").alias("scene"), F.col("pixel").alias("i"), ((F.col("pixel") * 3 + F.col("p") * 5) % 256).cast("int").alias("gray"), F.col("v").alias("valid"))
+    back = rasters.unpack_masked(rasters.pack_masked(obs, "scene"), "scene")
+    return back.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum("gray").alias("gray"), F.sum(F.col("i") * F.col("gray")).alias("check"))
+
+
+def class_images(spark, d):
+    """Class rasters as images of bytes, in strips, read back."""
+    cells = classes(spark, d).select(F.floor(F.col("pixel") / 800).cast("int").alias("strip"), (F.col("pixel") % 50).cast("int").alias("x"), (F.floor(F.col("pixel") / 50) % 16).cast("int").alias("y"), F.col("cls"))
+
+    def write(pdf):
+        import numpy as np
+        import pandas as pd
+
+        out = np.zeros((16, 50), np.uint8)
+        out[pdf.y, pdf.x] = pdf.cls
+        return pd.DataFrame({"strip": [pdf.strip.iloc[0]], "png": [planes.encode_png8(out)]})
+
+    def read(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for strip, png in zip(pdf.strip, pdf.png, strict=True):
+                v = planes.decode_png8(bytes(png))
+                y, x = np.nonzero(v)
+                yield pd.DataFrame({"strip": strip, "x": x, "y": y, "cls": v[y, x].astype(int)})
+
+    ship(spark)
+    images = cells.groupBy("strip").applyInPandas(write, "strip int, png binary")
+    return images.mapInPandas(read, "strip int, x int, y int, cls int").select((F.col("strip") * 800 + F.col("y") * 50 + F.col("x")).cast("long").alias("pixel"), "cls")
+
+
 def catalogue_pages(spark, d):
     """Scenes of a paged catalogue, page after page by the name of the next, clear ones only."""
     s = table(spark, d, "supplier").select("s_suppkey", F.floor(F.col("s_suppkey") / 20).alias("page"))
@@ -159,6 +194,8 @@ def _ramp_sql(k):
 
 _FLAT = {n: "case cls " + " ".join(f"when {c} then {int(p[1 + 2 * k : 3 + 2 * k], 16)}" for c, p in PALETTE.items()) + " end" for k, n in enumerate("rgb")}
 ORACLES = {
+    "masked_bytes": f"with {_OBS} select cast(p as int) scene, count(*) n, cast(sum((pixel * 3 + p * 5) % 256) as bigint) gray, cast(sum(pixel * ((pixel * 3 + p * 5) % 256)) as bigint) as check from obs where v = 1 group by 1",
+    "class_images": f"with {_OBS}, {_CLS} select pixel, cls from cls where cls <> 0",
     "tile_composite": f"with {_A} select x, y, cast(v as int) as value from a where (x + y) % 6 <> 0",
     "float_grid": f"with {_A} select x, y, v / 4 as value from a where v > 0",
     "fit_file": f"with {_OBS}, {_CLS} select pixel, cast(case when height is null then 0 else least(greatest(floor(1 + height / 1000 / 2.5::double * 65533 + 0.5), 1), 65534) end as int) code, cls, cast(least(misfit, 255) as int) misfit from cls",

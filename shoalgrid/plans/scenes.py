@@ -91,6 +91,13 @@ def otsu_per_group(spark, d):
     return scenes.otsu(scenes.histogram(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity")), ["l_returnflag"])
 
 
+def otsu_single(spark, d):
+    """Thresholds of histograms of which every third has one level only; those keep the level that the search begins with."""
+    gray = F.when(F.col("p_partkey") % 3 == 0, F.lit(7)).otherwise(F.col("p_size")).cast("int")
+    rows = table(spark, d, "part").withColumn("key", F.col("p_partkey") % 30)
+    return scenes.otsu(scenes.histogram(rows, ["key"], gray), ["key"], 0)
+
+
 def upper_median(spark, d):
     return scenes.upper_median(table(spark, d, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice")
 
@@ -394,6 +401,7 @@ a as (select event_type, gray low_mode, m ma from s where gray < 128 qualify row
 b as (select event_type, gray high_mode, m mb from s where gray >= 128 qualify row_number() over (partition by event_type order by m desc, gray) = 1)
 select event_type, cast(low_mode as int) low_mode, cast(high_mode as int) high_mode, cast(gray as int) valley, round(coalesce(m / nullif(least(ma, mb), 0), 1), 6) ratio from s join a using (event_type) join b using (event_type) where gray between low_mode and high_mode qualify row_number() over (partition by event_type order by m, gray) = 1""".replace("from (select distinct event_type from h), range(256) r(gray) left join h using (event_type, gray)", "from (select event_type, cast(gray as int) gray from (select distinct event_type from h), range(256) r(gray)) left join h using (event_type, gray)"),
     "otsu_per_group": "select * from " + _sql_otsu("(select l_returnflag, cast(l_quantity as int) gray, count(*) n from lineitem group by all)", "l_returnflag"),
+    "otsu_single": "select * from " + _sql_otsu("(select p_partkey % 30 as key, cast(case when p_partkey % 3 = 0 then 7 else p_size end as int) gray, count(*) n from part group by all)", "key").replace("'], 128)", "'], 0)"),
     "upper_median": "select o_orderpriority, o_totalprice from (select *, row_number() over (partition by o_orderpriority order by o_totalprice) - 1 i, count(*) over (partition by o_orderpriority) n from orders) where i = n // 2",
     "otsu_upper_median": f"select threshold from (select threshold, row_number() over (order by threshold) - 1 i, count(*) over () n from {_sql_otsu(f'(select user_id, {_G} gray, count(*) n from events group by all)', 'user_id')}) where i = n // 2",
     "percentile_index": "select c_mktsegment, c_acctbal from (select *, row_number() over (partition by c_mktsegment order by c_acctbal) - 1 i, count(*) over (partition by c_mktsegment) n from customer) where i = least(n - 1, floor(n * 0.985::double))",

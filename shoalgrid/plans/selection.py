@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from shoalgrid.operators import focal, grid, scenes, stepfit
 from shoalgrid.plans.raster import _INSIDE, RING
 from shoalgrid.plans.scenes import PLACES, _sql_otsu
-from shoalgrid.plans.waterline import _CLS, _IOU, _OBS, _PLACES, _WET, GRID, N, _grid_scores, _obs, _sql_grid, _sql_loo, classes, lag_bin, lag_orders, spectral_classes, stack, tides
+from shoalgrid.plans.waterline import _CLS, _IOU, _OBS, _PLACES, _WET, GRID, N, _grid_scores, _obs, _sql_grid, _sql_loo, bin_orders, classes, lag_bin, lag_orders, spectral_classes, stack, tides
 
 RULES = ("frame", "frame_median", "harbour", "harbour_median", "fixed")
 TAUS = (0, 30, 45, 60, 70, 80, 90, 100, 110, 120)
 CLOUD_GRID = [(tau0, slope) for tau0 in (0, 20, 40, 60, 80, 100) for slope in (0, 1, 2, 3, 4, 6, 8)]
 #: Scenes with few clouds are two in three; of 30 these are 20.
-CLEAN, CLEAN_SQL, CLEAN_N = "scene % 3 < 2", "scene % 3 < 2", 20
+CLEAN, CLEAN_N = "scene % 3 < 2", 20
+CLEAN_SQL = CLEAN
+
+
+def _clean(scene):
+    return scene % 3 < 2
+
+
 TAU0, SLOPE = 40, 2
 SEA, INLAND, RADII = (12, 10), (32, 10), (1, 2, 3)
 
@@ -62,10 +69,12 @@ def reference_pixels(spark, d):
 
 def rule_lag_grid(spark, d):
     """Two rules by ten uniform lags, scored on the fixed set of intertidal pixels. Lags that round to one bin share an order."""
-    dealt = spark.createDataFrame([(t,) for t in TAUS], "tau int").withColumn("bin", lag_bin(F.col("tau"), F.lit(0), F.lit(0)))
-    rows = _ruled(spark, d, ("frame", "frame_median")).join(reference_pixels(spark, d), "pixel", "left_semi").withColumnRenamed("p", "scene")
-    rows = rows.join(F.broadcast(lag_orders(spark, dealt).select("bin", "scene", "p")), "scene").select("rule", "bin", "pixel", "p", "v", "w")
-    scores = stepfit.held_out_confusion(rows, N, ("rule", "bin", "pixel"), ("rule", "bin")).join(F.broadcast(dealt), "bin")
+    bins = {t: int(t / 5 + 0.5) for t in TAUS}
+    rows = _ruled(spark, d, ("frame", "frame_median")).join(reference_pixels(spark, d), "pixel", "left_semi")
+    every = sorted(set(bins.values()))
+    scores = stepfit.held_out_orders(rows.withColumn("of", (F.col("rule") == "frame").cast("int")), N, "of", bin_orders(every), {0: every, 1: every}, ("pixel", "rule"))
+    dealt = spark.createDataFrame(list(bins.items()), "tau int, `order` int")
+    scores = scores.withColumn("rule", F.when(F.col("of") == 1, "frame").otherwise("frame_median")).join(F.broadcast(dealt), "order")
     return scores.groupBy("rule", "tau").agg(F.round(F.avg(stepfit.overlap()), 6).alias("iou"))
 
 
@@ -77,7 +86,7 @@ def cloud_lag_grid(spark, d):
     """Fits on all scenes and on those with few clouds, each scored on the scenes it is fitted on, for every lag and slope; a fixed set of pixels."""
     obs = _reference_obs(spark, d)
     every = _grid_scores(spark, d, CLOUD_GRID, obs=obs).withColumn("cloud", F.lit(20))
-    clean = _grid_scores(spark, d, CLOUD_GRID, F.expr(CLEAN), CLEAN_N, obs).withColumn("cloud", F.lit(5))
+    clean = _grid_scores(spark, d, CLOUD_GRID, _clean, obs).withColumn("cloud", F.lit(5))
     return every.unionByName(clean).groupBy("cloud", "tau0", "slope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 6).alias("iou"))
 
 
@@ -100,13 +109,14 @@ def nested_selection(spark, d):
 
 #: label, scenes fitted on, their number, lag and slope; all scored on the clean ones among them.
 ABLATION = (("before", f"{CLEAN} and scene >= 10", 13, 80, 0), ("uniform", "true", N, 60, 0), ("after", "true", N, TAU0, SLOPE))
+_CHOSEN = {"before": lambda s: _clean(s) and s >= 10, "uniform": lambda s: True, "after": lambda s: True}
 
 
 def ablation(spark, d):
     """Three settings scored on clean scenes: held-out overlap of water and land, agreement."""
     out = None
-    for label, chosen, n, tau0, slope in ABLATION:
-        rows = _grid_scores(spark, d, [(tau0, slope)], F.expr(chosen), n, _reference_obs(spark, d)).filter(CLEAN)
+    for label, _, n, tau0, slope in ABLATION:
+        rows = _grid_scores(spark, d, [(tau0, slope)], _CHOSEN[label], _reference_obs(spark, d)).filter(CLEAN)
         rows = rows.withColumns({"land": stepfit.land_overlap(), "agree": stepfit.agreement()})
         middle = scenes.upper_median(rows.select(F.lit(1).alias("one"), "iou"), ["one"], "iou").select(F.round("iou", 6).alias("median"))
         one = rows.agg(F.lit(label).alias("label"), F.lit(n).alias("n_fit"), F.count(F.lit(1)).alias("n_scored"), F.round(F.avg("iou"), 6).alias("iou"), F.round(F.avg("land"), 6).alias("land_iou"), F.round(F.avg("agree"), 5).alias("agree")).crossJoin(middle)

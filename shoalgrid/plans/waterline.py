@@ -15,10 +15,10 @@ GRID = [(tau0, slope) for tau0 in range(20, 81, 10) for slope in range(7)]
 BANDS = ((0, 750), (750, 1000), (1000, 1500), (1500, 2000), (2000, 9000))
 
 
-def stack(spark, d):
+def stack(spark, d, n: int = N):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("pixel"), "p_size")
-    p = part.select("pixel", "p_size", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("p"))
-    tide = F.floor(F.col("p") * 2300 / F.lit(N - 1))
+    p = part.select("pixel", "p_size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+    tide = F.floor(F.col("p") * 2300 / F.lit(n - 1))
     v = ((F.col("pixel") * 7 + F.col("p") * 13) % 37 != 0).cast("int")
     level = F.col("p_size") * 60 - 400 + ((F.col("pixel") * 31 + F.col("p") * 17) % 11 - 5) * 40
     return p.select("pixel", "p", tide.alias("tide"), v.alias("v"), (v * (level <= tide).cast("int")).alias("w"))
@@ -52,6 +52,11 @@ def loo_iou(spark, d):
     return _scored(spark, d).select("p", "tp", "fp", "fn", "tn", F.round(stepfit.overlap(), 6).alias("iou"), F.round(stepfit.agreement(), 6).alias("agree"))
 
 
+def loo_iou_204(spark, d):
+    """Held-out scores over a stack of 204 scenes: the cost is that of reading them, however many there are."""
+    return stepfit.held_out_confusion(stack(spark, d, 204), 204).select("p", "tp", "fp", "fn", "tn", F.round(stepfit.overlap(), 6).alias("iou"))
+
+
 def land_iou(spark, d):
     return _scored(spark, d).select("p", F.round(stepfit.land_overlap(), 6).alias("land_iou"))
 
@@ -91,16 +96,21 @@ def _obs(spark, d):
     return stack(spark, d).select("pixel", F.col("p").alias("scene"), "v", "w")
 
 
-def _grid_scores(spark, d, grid=GRID, scenes_of=None, n=N, obs=None):
+def bin_orders(bins, chosen=lambda scene: True):
+    """{bin: its scenes by lagged tide}, of the scenes that are chosen."""
+    level = lambda scene, b: scene * 2300 // (N - 1) * 10 - b * (scene % 3) * 40
+    return {b: sorted((s for s in range(N) if chosen(s)), key=lambda s: (level(s, b), s)) for b in bins}
+
+
+def _grid_scores(spark, d, grid=GRID, chosen=lambda scene: True, obs=None):
     """tau0, slope, scene and the held-out score of each. A pixel's lag bin follows from the pair and from its way, pixel % 13, so pairs that share a bin share its fits: counts are taken for
-    each bin and way, then added up for each pair."""
-    dealt = spark.createDataFrame([(*pair, way) for pair in grid for way in range(13)], "tau0 int, slope int, way int")
-    dealt = dealt.withColumn("bin", lag_bin(F.col("tau0"), F.col("slope"), F.col("way")))
-    orders = lag_orders(spark, dealt, scenes_of)
-    rows = (_obs(spark, d) if obs is None else obs).withColumn("way", (F.col("pixel") % 13).cast("int"))
-    rows = rows.join(F.broadcast(dealt.select("way", "bin").distinct().join(orders, "bin")), ["way", "scene"]).select("bin", "way", "pixel", "p", "v", "w")
-    counts = stepfit.held_out_confusion(rows, n, ("bin", "way", "pixel"), ("bin", "way")).join(F.broadcast(orders.select("bin", "p", "scene")), ["bin", "p"])
-    total = counts.join(F.broadcast(dealt), ["bin", "way"]).groupBy("tau0", "slope", "scene").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    each way and bin, then added up for each pair."""
+    dealt = [(tau0, slope, way, int((tau0 + slope * way) / 5 + 0.5)) for tau0, slope in grid for way in range(13)]
+    of_way = {way: sorted({b for _, _, w, b in dealt if w == way}) for way in range(13)}
+    rows = (_obs(spark, d) if obs is None else obs).select("pixel", F.col("scene").alias("p"), "v", "w", (F.col("pixel") % 13).alias("way"))
+    counts = stepfit.held_out_orders(rows, N, "way", bin_orders({b for *_, b in dealt}, chosen), of_way)
+    pairs = spark.createDataFrame(dealt, "tau0 int, slope int, way int, `order` int")
+    total = counts.join(F.broadcast(pairs), ["way", "order"]).groupBy("tau0", "slope", "scene").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
     return total.withColumn("iou", F.round(stepfit.overlap(), 9))
 
 
@@ -236,6 +246,7 @@ ORACLES = {
     "step_fit_loo": f"with {_OBS}, {_sql_loo()} select pixel, p, k, case when p >= k then 1 else 0 end wet from loo",
     "step_fit_class": f"with {_OBS}, {_CLS} select pixel, cls, height, misfit from cls",
     "loo_iou": f"{_SCORE} select p, cast(tp as bigint) tp, cast(fp as bigint) fp, cast(fn as bigint) fn, cast(tn as bigint) tn, round({_IOU}, 6) iou, round(coalesce(100.0::double * (tp + tn) / nullif(tp + fp + fn + tn, 0), 100), 6) agree from s",
+    "loo_iou_204": f"with {_OBS.replace('2300 // 29', '2300 // 203').replace('range(30)', 'range(204)')}, {_sql_loo().replace(', 30, 0, 0 from', ', 204, 0, 0 from').replace('where p < 30)', 'where p < 204)')}, s as (select p, {_WET} from loo group by 1) select p, cast(tp as bigint) tp, cast(fp as bigint) fp, cast(fn as bigint) fn, cast(tn as bigint) tn, round({_IOU}, 6) iou from s",
     "land_iou": f"{_SCORE} select p, round(tn::double / nullif(tn + fp + fn, 0), 6) land_iou from s",
     "loo_iou_banded": f"{_SCORE} select lo, hi, count(p) n, round(avg({_IOU.replace('tp', 's.tp')}) filter (p is not null), 6) iou from (values {', '.join(map(str, BANDS))}) b(lo, hi) left join s on p * 2300 // 29 >= lo and p * 2300 // 29 < hi group by 1, 2",
     "error_frequency": f"with {_OBS}, {_sql_loo()} select pixel, cast(least(255, sum(case when (p >= k) <> (w = 1) then 1 else 0 end)) as bigint) errors from loo where v = 1 group by 1",

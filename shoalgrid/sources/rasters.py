@@ -55,6 +55,51 @@ def read_grids(spark: SparkSession, path: str, width: int, height: int, kind: st
     return unpack_rows(spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data")), "path", width, height, kind)
 
 
+def pack_masked(cells: DataFrame, by: str) -> DataFrame:
+    """by and data: a byte a pixel (index i from 0 on, gray), then a bit a pixel (valid) in words of 32, of each key. cells: by, i, gray, valid."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = (int(pdf.i.max()) // 32 + 1) * 32
+        gray, valid = np.zeros(n, np.uint8), np.zeros(n, bool)
+        gray[pdf.i], valid[pdf.i] = pdf.gray, pdf.valid == 1
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "data": [gray.tobytes() + np.packbits(valid, bitorder="little").tobytes()]})
+
+    ship(cells.sparkSession)
+    return cells.select(by, "i", "gray", "valid").groupBy(by).applyInPandas(run, f"{by} {dict(cells.dtypes)[by]}, data binary")
+
+
+def unpack_masked(files: DataFrame, by: str) -> DataFrame:
+    """by, i and gray of the valid pixels; data whose length fits no number of pixels is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, data in zip(pdf[by], pdf.data, strict=True):
+                if len(data) % 36:
+                    raise ValueError(f"{key}: {len(data)} bytes are no gray levels with their mask")
+                n = len(data) // 36 * 32
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(data[n:]), np.uint8), bitorder="little"))
+                yield pd.DataFrame({by: key, "i": at, "gray": np.frombuffer(bytes(data[:n]), np.uint8)[at].astype(np.int32)})
+
+    ship(files.sparkSession)
+    return files.select(by, "data").mapInPandas(run, f"{by} {dict(files.dtypes)[by]}, i long, gray int")
+
+
+def from_mirrors(mirrors: list[Callable[[], bytes]], least: int, tries: int = 2, wait: Callable[[float], None] = time.sleep) -> bytes | None:
+    """What the first mirror gives that gives anything, each tried so often."""
+    for read in mirrors:
+        got = fetched(read, least, tries, wait)
+        if got is not None:
+            return got
+    return None
+
+
+def read_feature_pages(spark: SparkSession, path: str) -> DataFrame:
+    """id, lon and lat of the points on all pages (GeoJSON files) that a path names; a feature on two pages is one."""
+    pages = spark.read.schema("features array<struct<id:string,geometry:struct<type:string,coordinates:array<double>>>>").json(path, multiLine=True)
+    rows = pages.select(F.explode("features").alias("f")).filter("f.geometry.type = 'Point'")
+    return rows.groupBy("f.id").agg(F.min("f.geometry.coordinates").alias("c")).select("id", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
+
+
 #: Height code, class and misfit of a pixel, as they lie in a packed fit.
 FIT = np.dtype([("code", "<u2"), ("cls", "u1"), ("misfit", "u1")])
 

@@ -50,6 +50,21 @@ def test_held_out_fits_are_refits(spark):
         assert c == tuple(sum(w == truth and (p >= k) == said for _, w, k in mine) for truth, said in ((1, True), (0, True), (1, False), (0, False)))
 
 
+def test_orders_in_memory_are_orders_of_rows(spark):
+    rng = random.Random(12)
+    rows = [(pixel, pixel % 3, p, v := int(rng.random() < 0.8), v * int(rng.random() < p / 12)) for pixel in range(60) for p in range(12)]
+    obs = spark.createDataFrame(rows, "pixel long, g int, p int, v int, w int")
+    orders = {5: list(range(12)), 9: [11, 3, 4, 0, 1, 2, 5, 6, 7, 10, 9, 8], 2: [6, 1, 8, 3]}
+    got = {(r["g"], r["order"], r["scene"]): tuple(r[c] for c in ("tp", "fp", "fn", "tn")) for r in stepfit.held_out_orders(obs, 12, "g", orders, {0: [5, 9], 1: [2], 2: [9]}).collect()}
+    want = {}
+    for g, mine in {0: [5, 9], 1: [2], 2: [9]}.items():
+        for o in mine:
+            place = {s: k for k, s in enumerate(orders[o])}
+            again = spark.createDataFrame([(pixel, place[p], v, w) for pixel, h, p, v, w in rows if h == g and p in place], "pixel long, p int, v int, w int")
+            want |= {(g, o, orders[o][r["p"]]): tuple(r[c] for c in ("tp", "fp", "fn", "tn")) for r in stepfit.held_out_confusion(again, len(place)).collect()}
+    assert got == want
+
+
 def test_missing_scenes_count_as_not_seen(spark):
     whole = [(1, p, int(p != 3), int(p > 4)) for p in range(8)]
     full, part = (spark.createDataFrame(r, "pixel long, p int, v int, w int") for r in (whole, [r for r in whole if r[1] != 3]))
@@ -296,6 +311,33 @@ def test_grids_of_the_wrong_size_are_refused(spark, tmp_path):
         rasters.read_grids(spark, f"{tmp_path}/*.f32", 5, 5).collect()
 
 
+def test_mirrors_and_pages_of_features(spark, tmp_path):
+    assert rasters.from_mirrors([lambda: b"", lambda: b"ok"], 1, wait=lambda _: None) == b"ok" and rasters.from_mirrors([lambda: b""], 1, wait=lambda _: None) is None
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text('{"features":[' + ",".join(f'{{"id":"f{i}","geometry":{{"type":"Point","coordinates":[{i}.5,{-i}]}}}}' for i in range(k * 3, k * 3 + 4)) + "]}")
+    assert sorted(map(tuple, rasters.read_feature_pages(spark, f"{tmp_path}/*.json").collect())) == [(f"f{i}", i + 0.5, float(-i)) for i in range(7)]
+
+
+def test_images_of_bytes_with_filtered_rows():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (6, 9, 3), dtype=np.uint8)
+    plain = planes.encode_png8(image)
+    assert all((planes.decode_png8(plain, c) == image[:, :, c]).all() for c in range(3))
+    wide, rows = image.astype(int), []
+    for y in range(6):
+        kind, line = y % 5, []
+        for x in range(9):
+            left, up = wide[y, x - 1] if x else np.zeros(3, int), wide[y - 1, x] if y else np.zeros(3, int)
+            corner = wide[y - 1, x - 1] if x and y else np.zeros(3, int)
+            far = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]
+            paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+            line.append((wide[y, x] - [0, left, up, (left + up) // 2, paeth][kind]) % 256)
+        rows.append(bytes([kind]) + np.array(line, np.uint8).tobytes())
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    filtered = plain[:33] + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert all((planes.decode_png8(filtered, c) == image[:, :, c]).all() for c in range(3))
+
+
 def test_images_keep_all_codes():
     codes = np.array([[0, 1, 65535], [256, 255, 4097]], np.uint16)
     assert (planes.decode_png16(planes.encode_png16(codes)) == codes).all()
