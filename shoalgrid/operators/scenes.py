@@ -121,23 +121,24 @@ def detrend(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(line)).withColumn("residual", F.col(y) - F.col("_slope") * F.col(x) - F.col("_cut")).drop("_slope", "_cut")
 
 
-def furthest_partner(rows: DataFrame, left: Column, right: Column, key: str, value: str, within: int) -> DataFrame:
-    """For every left row (value) the right row whose key is at most `within` away (both whole numbers) and whose value lies furthest, the smaller value on ties: value, partner, gap.
+def furthest_partner(rows: DataFrame, left: Column, right: Column, key: str, value: str, within: int, id: str | None = None) -> DataFrame:
+    """For every left row the right row whose key is at most `within` away (both whole numbers) and whose value lies furthest, the smaller value, then the smaller id, on ties: id, partner, gap.
+    id: a whole number; the value itself if none is given.
 
     The furthest value is the least or the greatest one in reach, so no pairs are made. Keys are cut into cells of that width: a row reaches the whole of its own cell, the end of the
     one before and the beginning of the one after, whose running extremes are read off where its reach ends."""
-    cell = F.floor(F.col(key) / within).cast("long")
-    ends = rows.filter(right).select(cell.alias("cell"), F.col(key).alias("at"), F.col(value).alias("v"), F.lit(None).cast("long").alias("of"), F.lit(0).alias("side"))
-    mine = rows.filter(left).select(cell.alias("cell"), F.col(key).alias("at"), F.col(value).alias("of"))
-    probe = lambda step, reach, side: mine.select((F.col("cell") + step).alias("cell"), (F.col("at") + reach).alias("at"), F.lit(None).alias("v"), F.col("of").cast("long"), F.lit(side).alias("side"))
+    cell, id = F.floor(F.col(key) / within).cast("long"), id or value
+    named = rows.select(cell.alias("cell"), F.col(key).alias("at"), F.col(value).alias("v"), F.col(id).cast("long").alias("id"), left.alias("left"), right.alias("right"))
+    ends = named.filter("right").select("cell", "at", F.struct("v", "id").alias("lo"), F.struct(F.col("v"), (-F.col("id")).alias("id")).alias("hi"), F.lit(None).cast("long").alias("of"), F.lit(None).cast(dict(named.dtypes)["v"]).alias("own"), F.lit(0).alias("side"))
+    mine, none = named.filter("left"), {c: F.lit(None).cast(dict(ends.dtypes)[c]).alias(c) for c in ("lo", "hi")}
+    probe = lambda step, reach, side: mine.select((F.col("cell") + step).alias("cell"), (F.col("at") + reach).alias("at"), none["lo"], none["hi"], F.col("id").alias("of"), F.col("v").alias("own"), F.lit(side).alias("side"))
     # side: 1 takes all keys from `at` on, 2 all up to `at`, 3 the whole cell.
     both = ends.unionByName(probe(-1, -within, 1)).unionByName(probe(1, within, 2)).unionByName(probe(0, 0, 3))
-    rows_first = [F.col("side")]
-    up = Window.partitionBy("cell").orderBy("at", *rows_first).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("cell").orderBy(F.col("at").desc(), *rows_first).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("cell").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("cell").orderBy(F.col("at").desc(), "side").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("cell")
-    pick = lambda f: F.when(F.col("side") == 1, f("v").over(down)).when(F.col("side") == 2, f("v").over(up)).otherwise(f("v").over(whole))
-    seen = both.select("of", "side", pick(F.min).alias("lo"), pick(F.max).alias("hi")).filter("side > 0")
-    best = seen.groupBy("of").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo is not null")
-    low = F.abs(F.col("of") - F.col("lo")) >= F.abs(F.col("of") - F.col("hi"))
-    return best.select(F.col("of").alias("value"), F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("partner"), F.greatest(F.abs(F.col("of") - F.col("lo")), F.abs(F.col("of") - F.col("hi"))).alias("gap"))
+    pick = lambda f, c: F.when(F.col("side") == 1, f(c).over(down)).when(F.col("side") == 2, f(c).over(up)).otherwise(f(c).over(whole))
+    seen = both.select("of", "own", "side", pick(F.min, "lo").alias("lo"), pick(F.max, "hi").alias("hi")).filter("side > 0")
+    best = seen.groupBy("of").agg(F.first("own").alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo is not null")
+    below, above = F.abs(F.col("own") - F.col("lo.v")), F.abs(F.col("own") - F.col("hi.v"))
+    return best.select(F.col("of").alias("id"), F.when(below >= above, F.col("lo.id")).otherwise(-F.col("hi.id")).alias("partner"), F.greatest(below, above).alias("gap"))

@@ -275,7 +275,15 @@ def hysteresis_pair(spark, d):
     """For each rising row the falling one within 5.00 of its level with the largest gap in value, the first on ties. Levels in whole cents."""
     c = table(spark, d, "customer").select(F.round(F.col("c_acctbal") * 100).cast("long").alias("level"), F.col("c_custkey").alias("value"))
     best = scenes.furthest_partner(c, F.col("value") % 2 == 0, F.col("value") % 2 == 1, "level", "value", 500)
-    return best.select(F.col("value").alias("rising"), F.col("partner").alias("falling"), "gap")
+    return best.select(F.col("id").alias("rising"), F.col("partner").alias("falling"), "gap")
+
+
+def hysteresis_residual(spark, d):
+    """What is left of a quantity after the straight line through it and the level is taken away, compared between rising and falling rows of like level."""
+    c = table(spark, d, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("level"), (F.col("c_acctbal") * F.lit(0.01) + F.col("c_custkey") * 7919 % 1009).alias("y"))
+    rest = scenes.detrend(c.withColumn("x", F.col("level").cast("double")), "x", "y").select("c_custkey", "level", F.round("residual", 4).alias("r"))
+    best = scenes.furthest_partner(rest, F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 2 == 1, "level", "r", 500, "c_custkey")
+    return best.select(F.col("id").alias("rising"), F.round("gap", 3).alias("gap"))
 
 
 def band_tiles(spark, d):
@@ -432,6 +440,7 @@ select event_type, cast(low_mode as int) low_mode, cast(high_mode as int) high_m
     "aligned_rasters": f"select x, y, p_size * coalesce(n, 0) product from {_A} left join (select l_partkey % 50 x, l_partkey // 50 % 40 y, count(*) n from lineitem group by 1, 2) using (x, y)",
     "lag_bins": "select s_suppkey, cast(bin as bigint) bin, scene, rank from (select s_suppkey, floor((40 + s_suppkey % 13 * 4) / 5::double + 0.5) bin from supplier) join (select bin, scene, row_number() over (partition by bin order by id97 * 10 - bin * (scene % 3), scene) - 1 as rank from range(8, 20) r(bin), (select s scene, s * 97 % 31 id97 from range(30) q(s))) using (bin)",
     "hysteresis_pair": "select a.c_custkey rising, b.c_custkey falling, abs(a.c_custkey - b.c_custkey) gap from customer a join customer b on a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and abs(cast(round(a.c_acctbal * 100) as bigint) - cast(round(b.c_acctbal * 100) as bigint)) <= 500 qualify row_number() over (partition by a.c_custkey order by abs(a.c_custkey - b.c_custkey) desc, b.c_custkey) = 1",
+    "hysteresis_residual": "with c as (select c_custkey k, cast(round(c_acctbal * 100) as bigint) l, c_acctbal * 0.01::double + c_custkey * 7919 % 1009 y from customer), r as (select k, l, round(y - regr_slope(y, l::double) over () * l - regr_intercept(y, l::double) over (), 4) r from c) select a.k rising, round(max(abs(a.r - b.r)), 3) gap from r a join r b on a.k % 2 = 0 and b.k % 2 = 1 and abs(a.l - b.l) <= 500 group by 1",
     "band_tiles": f"select distinct cast(y // 4 as bigint) ty from {_A} where exists (select 1 from (values (3, 9), (20, 22), (37, 38)) v(lo, hi) where y // 4 * 4 <= hi and y // 4 * 4 + 3 >= lo)",
     "complement_anti": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)",
     "parameter_grid": "select a * 10 tau0, b * 2 slope, r_regionkey from range(7) p(a), range(7) q(b), region",

@@ -198,7 +198,7 @@ def test_furthest_partners(spark):
                 gap, u = max(near)
                 want[v] = (-u, gap)
     got = scenes.furthest_partner(spark.createDataFrame(rows, "value long, level long"), F.col("value") % 2 == 0, F.col("value") % 2 == 1, "level", "value", 6)
-    assert {r["value"]: (r["partner"], r["gap"]) for r in got.collect()} == want
+    assert {r["id"]: (r["partner"], r["gap"]) for r in got.collect()} == want
 
 
 def test_streamlines_from_tile_to_tile(spark):
