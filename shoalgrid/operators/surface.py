@@ -60,21 +60,20 @@ def fused(cells: DataFrame, sharp: str, colours: tuple[str, str, str], sigma: fl
     return t.select("x", "y", *[byte(c).alias(n) for c, n in zip(colours, "rgb", strict=True)])
 
 
-def level_at(cells: DataFrame, value: str, share: float) -> float | None:
-    """The value at rank round(share * (n - 1))."""
-    found = scenes.at_rank(cells.select(F.lit(1).alias("one"), value), ["one"], value, F.floor(F.lit(share) * (F.col("n") - 1) + F.lit(0.5))).first()
-    return None if found is None else found[value]
+def levels(cells: DataFrame, columns: str, share: float) -> dict[str, float]:
+    """The value of each column at rank round(share * (n - 1)); no entries for an empty table."""
+    each = cells.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in columns])).alias("c")).select("c.*")
+    return {r["of"]: r["v"] for r in scenes.at_rank(each, ["of"], "v", F.floor(F.lit(share) * (F.col("n") - 1) + F.lit(0.5))).collect()}
 
 
 def graded(cells: DataFrame, land: Column, haze: float = 0.55, floor: float = 6.0, white: float = 0.995, power: float = 0.88, vibrance: float = 0.35, bias: tuple[int, int, int] = (5, 4, -6)) -> DataFrame:
     """x, y, r, g, b: part of the black point taken away and stretched to the white point, a power curve either side of the middle, more colour where there is little, and a bias on land."""
-    curved = []
+    curved, dark, bright = [], levels(cells, "rgb", 0.01), levels(cells, "rgb", white)
+    if not dark:
+        return cells.select("x", "y", *[F.col(k).cast("int") for k in "rgb"])
     for c in "rgb":
-        black, top = level_at(cells, c, 0.01), level_at(cells, c, white)
-        if black is None:
-            return cells.select("x", "y", *[F.col(k).cast("int") for k in "rgb"])
-        low = min(floor, black * haze)
-        t = scalars.clamp((F.col(c) - F.lit(low)) / F.lit(max(1.0, top - low)), 0, 1)
+        low = min(floor, dark[c] * haze)
+        t = scalars.clamp((F.col(c) - F.lit(low)) / F.lit(max(1.0, bright[c] - low)), 0, 1)
         curved.append(F.when(t < 0.5, F.lit(0.5) * F.pow(t * 2, F.lit(power))).otherwise(F.lit(1.0) - F.lit(0.5) * F.pow((F.lit(1.0) - t) * 2, F.lit(power))) * 255)
     t = cells.select("x", "y", land.cast("double").alias("_m"), *[c.alias(f"_{n}") for c, n in zip(curved, "rgb", strict=True)])
     mean = (F.col("_r") + F.col("_g") + F.col("_b")) / F.lit(3.0)
@@ -172,14 +171,17 @@ def normalised(cells: DataFrame, value: str, share: float = 0.999) -> DataFrame:
     return cells.withColumn(value, scalars.clamp(scalars.half_up(F.col(value) * F.lit(scale)), 0, 255).cast("int"))
 
 
-def blended_axis(scales: list[tuple[Column, Column, Column]], seaward: tuple[Column, Column], sure: tuple[float, float]) -> tuple[Column, Column, Column]:
-    """(x, y, anisotropy) of an axis blended from scales (ax, ay, anisotropy), fine to coarse: each takes what its anisotropy earns of the rest, turned to agree with what is there; the end points seaward."""
-    x, y, total, rest = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)
+def blended_axis(cells: DataFrame, scales: list[tuple[str, str, str]], seaward: tuple[str, str], sure: tuple[float, float]) -> DataFrame:
+    """cells with ax, ay, anisotropy: an axis blended from scales (columns x, y, anisotropy), fine to coarse. Each takes what its anisotropy earns of the rest, turned to agree with what is there; the
+    end points seaward. A step at a time, so that no expression holds another twice."""
+    zero = F.lit(0.0)
+    t = cells.withColumns({"_x": zero, "_y": zero, "_total": zero, "_rest": F.lit(1.0)})
     for k, (ax, ay, an) in enumerate(scales):
-        weight = rest if k == len(scales) - 1 else rest * scalars.smoothstep(*sure, an)
-        sign = F.when(x * ax + y * ay < 0, -1.0).otherwise(1.0)
-        x, y, total, rest = x + weight * sign * ax, y + weight * sign * ay, total + weight * an, rest - weight
-    size = F.hypot(x, y)
-    ux, uy = F.when(size > 1e-9, x / size).otherwise(1.0), F.when(size > 1e-9, y / size).otherwise(0.0)
-    back = F.when(ux * seaward[0] + uy * seaward[1] < 0, -1.0).otherwise(1.0)
-    return ux * back, uy * back, total
+        weight = F.col("_rest") if k == len(scales) - 1 else F.col("_rest") * scalars.smoothstep(*sure, F.col(an))
+        t = t.withColumns({"_w": weight, "_sign": F.when(F.col("_x") * F.col(ax) + F.col("_y") * F.col(ay) < 0, -1.0).otherwise(1.0)})
+        turned = lambda own, c: F.col(own) + F.col("_w") * F.col("_sign") * F.col(c)
+        t = t.withColumns({"_x": turned("_x", ax), "_y": turned("_y", ay), "_total": F.col("_total") + F.col("_w") * F.col(an), "_rest": F.col("_rest") - F.col("_w")})
+    t = t.withColumn("_size", F.hypot("_x", "_y"))
+    t = t.withColumns({"_x": F.when(F.col("_size") > 1e-9, F.col("_x") / F.col("_size")).otherwise(1.0), "_y": F.when(F.col("_size") > 1e-9, F.col("_y") / F.col("_size")).otherwise(0.0)})
+    back = F.when(F.col("_x") * F.col(seaward[0]) + F.col("_y") * F.col(seaward[1]) < 0, -1.0).otherwise(1.0)
+    return t.select(*cells.columns, (F.col("_x") * back).alias("ax"), (F.col("_y") * back).alias("ay"), F.col("_total").alias("anisotropy"))

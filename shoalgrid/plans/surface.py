@@ -174,9 +174,12 @@ def city_glow(spark, d):
 
 def axis_blend(spark, d):
     a = lambda k: (F.col("v") * k + F.col("x")) * F.lit(0.1)
-    scales = [(F.cos(a(k)), F.sin(a(k)), (F.col("v") * k % 11) / F.lit(10.0)) for k in (1, 2, 3)]
-    x, y, an = surface.blended_axis(scales, (F.cos(a(5)), F.sin(a(5))), (0.2, 0.7))
-    return _cells(spark, d).select("x", "y", F.round(x, 5).alias("ax"), F.round(y, 5).alias("ay"), F.round(an, 5).alias("anisotropy"))
+    cells = _cells(spark, d)
+    for k in (1, 2, 3):
+        cells = cells.withColumns({f"x{k}": F.cos(a(k)), f"y{k}": F.sin(a(k)), f"n{k}": (F.col("v") * k % 11) / F.lit(10.0)})
+    cells = cells.withColumns({"sx": F.cos(a(5)), "sy": F.sin(a(5))})
+    out = surface.blended_axis(cells, [(f"x{k}", f"y{k}", f"n{k}") for k in (1, 2, 3)], ("sx", "sy"), (0.2, 0.7))
+    return out.select("x", "y", *[F.round(c, 5).alias(c) for c in ("ax", "ay", "anisotropy")])
 
 
 def flow_amplitude(spark, d):
