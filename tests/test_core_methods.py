@@ -72,13 +72,16 @@ def test_missing_scenes_count_as_not_seen(spark):
     assert stepfit.leave_one_out(full, 8).filter("p <> 3").sort("p").collect() == stepfit.leave_one_out(part, 8).sort("p").collect()
 
 
-def test_asof_on_one_busy_key(spark):
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_asof_on_one_busy_key(spark, most):
     rng = random.Random(3)
     knots = sorted(rng.sample(range(1000), 40))
     level = {t: rng.random() for t in knots}
     points = [(i, 1, float(rng.randrange(-20, 1020))) for i in range(500)]
-    got = series.asof_interpolate(spark.createDataFrame(points, "id int, k int, t double"), spark.createDataFrame([(1, float(t), h) for t, h in level.items()], "k int, t double, h double"), ["k"])
-    for r in got.collect():
+    knot_rows = spark.createDataFrame([(1, float(t), h) for t, h in level.items()], "k int, t double, h double")
+    got = series.asof_interpolate(spark.createDataFrame(points, "id int, k int, t double"), knot_rows, ["k"], most=most).collect()
+    assert len(got) == len(points)
+    for r in got:
         before, after = [t for t in knots if t <= r["t"]], [t for t in knots if t > r["t"]]
         if not before or (not after and before[-1] != r["t"]):
             assert r["h"] is None
@@ -88,6 +91,17 @@ def test_asof_on_one_busy_key(spark):
             assert r["h"] == pytest.approx(a if before[-1] == r["t"] else a + (level[after[0]] - a) * (1 - np.cos(np.pi * share)) / 2)
 
 
+def test_neighbours_across_ranges_of_time(spark):
+    rng = random.Random(4)
+    rows = [(k, float(t), rng.random()) for k, n in ((1, 300), (None, 40), (2, 1), (3, 2)) for t in rng.sample(range(900), n)]
+    frame = spark.createDataFrame(rows, "k int, t double, h double").repartition(7)
+    for f in (lambda most: series.leave_one_out(frame, ["k"], "t", "h", most), lambda most: series.mid_points(frame, ["k"], "t", "h", 4.0, most)):
+        whole, split = (sorted(map(tuple, f(most).collect()), key=str) for most in (1 << 20, 30))
+        assert whole == split and whole
+    inner = series.leave_one_out(frame, ["k"], "t", "h", 30).collect()
+    assert sum(r["k"] == 1 for r in inner) == 298 and sum(r["k"] is None for r in inner) == 38 and not any(r["k"] == 2 for r in inner)
+
+
 def _mask(seed, width=23, height=19, share=0.6):
     rng = random.Random(seed)
     return {(x, y) for x in range(width) for y in range(height) if rng.random() < share}
