@@ -343,3 +343,31 @@ def test_scratch_tables_go(spark):
     assert sorted(map(tuple, done.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     drop(done)
     assert {p.name for p in folder.iterdir()} == before
+
+
+def test_packed_rows_hold_many_entries_at_six_gigabytes():
+    """Six GB of documents are some 1.6 billion words. What a block sends to a task must stay large there, as every row is handled by itself in four places."""
+    rng = np.random.default_rng(9)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 200_000, 1000).tolist()).encode()
+    texts = [b"%d %s" % (k, b" ".join(rng.permutation(text.split()).tolist())) for k in range(substring_dedup.BLOCK_BYTES // len(text) + 1)]
+    parts = -(-1_600_000_000 // substring_dedup.TASK_ENTRIES)
+    probes = substring_dedup.Probes(substring_dedup.Block(texts), substring_dedup.Layout(parts, 1, 18, 35))
+    assert len(probes.hashes) / len(probes.deal.places) > 600
+
+
+def test_words_in_bytes_are_those_of_split():
+    """Word places, hashes and what is kept, against split and join: all separators, long words, empty texts, bytes that only look like separators."""
+    rng = np.random.default_rng(4)
+    pieces = [*b" |\n|\t|\x0b|\x0c|\r| ".split(b"|"), b"a", b"b", "é".encode(), "　".encode(), b"\0", b"\x1c", b"\x08", b"\x0e", b"x" * 9, b"y" * 70, b"y" * 71]
+    for _ in range(200):
+        texts = [b"".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 30))) for _ in range(rng.integers(0, 6))]
+        block, words = substring_dedup.Block(texts), [t.split() for t in texts]
+        flat = [w for ws in words for w in ws]
+        assert [block.data[a:b].tobytes() for a, b in zip(block.begin, block.end, strict=True)] == flat
+        for hashes in (block.hashes.tolist(), block.second.tolist()):
+            assert len(set(hashes)) == len(set(flat)) == len(set(zip(hashes, flat, strict=True)))
+        keep = rng.random(len(flat)) < 0.6
+        counts, kept = block.kept(keep)
+        mine = iter(keep.tolist())
+        want = [[w for w in ws if next(mine)] for ws in words]
+        assert counts.tolist() == [len(ws) for ws in want] and [x.as_buffer().to_pybytes() for x in kept] == [b" ".join(ws) for ws in want]
