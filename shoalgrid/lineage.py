@@ -52,11 +52,15 @@ def _end(spark: SparkSession, app: str) -> None:
         return
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
+def cut(df: DataFrame, tag: str, together: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation.
+
+    together: how many rows are written, and later read, at once, for tables whose rows are megabytes. By themselves writers first look at their memory after 100 rows, and
+    readers take a whole row group of nested values, so a task would hold all of its rows."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    bounds = {} if together is None else {"parquet.block.row.count.limit": str(together)}
+    df.write.option("compression", "zstd").options(**bounds).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -37,9 +37,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
-    return cut(df, tag)
+def materialize(df: DataFrame, tag: str, together: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back. together: see cut()."""
+    return cut(df, tag, together)
 
 
 def release(spark: SparkSession) -> None:

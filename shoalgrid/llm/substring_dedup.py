@@ -39,6 +39,8 @@ WINDOW = 35
 BLOCK_BYTES = 1 << 22
 TASK_ENTRIES = 1 << 21
 ROWS_BYTES = 1 << 25
+#: Blocks that are written or read at once.
+TOGETHER = 2
 #: Words over so many bytes are hashed one by one.
 LONG_WORD = 64
 _LOW = np.uint64((1 << 46) - 1)
@@ -518,7 +520,7 @@ def _exchange(entries: DataFrame, wire: ProbeWire | WindowWire, to: Layout, tag:
         out = materialize(entries.repartitionById(to.parts, "part").mapInArrow(meet, _REPLIES), tag)
     else:
         groups = -(-to.parts // to.together)
-        supers = materialize(entries.repartitionById(groups, "part").mapInArrow(_gather(wire, TASK_ENTRIES), "block long, part int, blocks array<long>, packed array<binary>"), f"{tag}-super")
+        supers = materialize(entries.repartitionById(groups, "part").mapInArrow(_gather(wire, TASK_ENTRIES), "block long, part int, blocks array<long>, packed array<binary>"), f"{tag}-super", TOGETHER)
         replies = materialize(supers.mapInArrow(_ask(wire, to.parts), _ROWS).repartitionById(to.parts, "part").mapInArrow(meet, _REPLIES), f"{tag}-fine")
         out = materialize(_replied(supers, replies=replies).mapInArrow(_pass_on(wire, to.parts), _REPLIES), tag)
     release(entries.sparkSession)
@@ -530,7 +532,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = No
     spark, anchor = docs.sparkSession, (window + 1) // 2
     arrow_batches(spark, megabytes=8)
     blocks = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(BLOCK_BYTES), "block long, words long, ids array<long>, texts array<binary>"), "substring-blocks"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(BLOCK_BYTES), "block long, words long, ids array<long>, texts array<binary>"), "substring-blocks", TOGETHER
     )
     total = blocks.agg(F.sum("words")).first()[0] or 0
     parts = parts or max(partitions(spark), -(-total // TASK_ENTRIES))
