@@ -166,7 +166,8 @@ def tide_from_table(spark, d):
 
 
 def text_codes(spark, d):
-    return table(spark, d, "pages").select("page_id", F.base64(F.col("url").cast("binary")).alias("code"))
+    """Base64 in one line: Spark breaks it after every 76 characters."""
+    return table(spark, d, "pages").select("page_id", F.translate(F.base64(F.col("url").cast("binary")), "\r\n", "").alias("code"))
 
 
 def status_map(spark, d):
