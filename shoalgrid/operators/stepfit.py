@@ -3,7 +3,7 @@
 Observations are rows (pixel, p, v, w): p is the scene's rank by tide from 0, v whether the pixel was seen, w whether it was wet (w <= v). The fit with the
 fewest errors, and the fit that leaves one observation out, come from one error curve a pixel: prefix and suffix minima in place of refits.
 
-A pixel's observations are packed into one array (one shuffle, and none where the stack comes packed); all curves of a batch are then one matrix, and every step is a pass over it. So the work is
+A pixel's observations are packed into one array (one shuffle, and none where the stack comes packed: with codes in place of p, v and w); all curves of a batch are then one matrix, and every step is a pass over it. So the work is
 in proportion to the observations, however many scenes there are.
 """
 
@@ -26,11 +26,20 @@ ENTRIES = 1 << 21
 
 
 def packed(obs: DataFrame, by: tuple[str, ...] = ("pixel",)) -> DataFrame:
-    """by and codes: 4 p + 2 v + w of every observation, in the order of p."""
+    """by and codes: 4 p + 2 v + w of every observation, in the order of p. Observations that come packed stay as they are."""
+    if "codes" in obs.columns:
+        return obs.select(*dict.fromkeys([*by, "codes"]))
     code = (F.col("p") * 4 + F.col("v") * 2 + F.col("w")).cast("int")
     return obs.select(*by, code.alias("code")).groupBy(*by).agg(F.sort_array(F.collect_list("code")).alias("codes"))
 
 
+def unpacked(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, p, v and w: a row for each observation."""
+    code = F.col("_code")
+    p, v, w = F.shiftright(code, 2), F.shiftright(code, 1).bitwiseAND(F.lit(1)), code.bitwiseAND(F.lit(1))
+    return rows.select(*keep, F.explode("codes").alias("_code")).select(*keep, p.alias("p"), v.alias("v"), w.alias("w"))
+
+
 class _Curves:
     """Of some pixels: seen and wet (pixels, n), and err (pixels, n + 1), the errors of a cut at each place. Scenes without an observation count as not seen."""
 

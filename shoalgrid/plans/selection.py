@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
+from shoalgrid.lineage import cut
 from shoalgrid.operators import focal, grid, scenes, stepfit
 from shoalgrid.plans.raster import _INSIDE, RING
 from shoalgrid.plans.scenes import PLACES, _sql_otsu
-from shoalgrid.plans.waterline import _CLS, _IOU, _OBS, _PLACES, _WET, GRID, N, _grid_scores, _obs, _sql_grid, _sql_loo, bin_orders, classes, lag_bin, lag_orders, spectral_classes, stack, tides
+from shoalgrid.plans.waterline import _CLS, _IOU, _OBS, _PLACES, _WET, GRID, N, _grid_scores, _level, _sql_grid, _sql_loo, _tide, bin_orders, classes, lag_bin, pack, packed_classes, packed_stack, placed, spectral_classes, stack, tides
 
 RULES = ("frame", "frame_median", "harbour", "harbour_median", "fixed")
 TAUS = (0, 30, 45, 60, 70, 80, 90, 100, 110, 120)
@@ -26,19 +27,24 @@ TAU0, SLOPE = 40, 2
 SEA, INLAND, RADII = (12, 10), (32, 10), (1, 2, 3)
 
 
+def _gray_at(size, p):
+    """Bright where the tide stands above the pixel."""
+    return F.least(F.greatest(F.floor((_tide(p) - _level(size, p)) / 16) + 128, F.lit(0)), F.lit(255)).cast("int")
+
+
 def gray_stack(spark, d):
-    """The stack's brightness: bright where the tide stands above the pixel."""
-    level = F.col("p_size") * 60 - 400 + ((F.col("pixel") * 31 + F.col("p") * 17) % 11 - 5) * 40
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("pixel"), "p_size")
-    rows = stack(spark, d).join(part, "pixel")
-    return rows.select("pixel", "p", "v", F.least(F.greatest(F.floor((F.col("tide") - level) / 16) + 128, F.lit(0)), F.lit(255)).cast("int").alias("gray"))
+    """The stack's brightness."""
+    return stack(spark, d, keep=("p_size",)).select("pixel", "p", "v", _gray_at(F.col("p_size"), F.col("p")).alias("gray"))
 
 
 def _thresholds(rows, names=RULES):
-    """rule, p and threshold of each scene: Otsu's on the frame and on the harbour (the raster's west half), the upper medians of both over all scenes, and a fixed one."""
-    otsu = lambda part: scenes.otsu(scenes.histogram(part.filter("v = 1"), ["p"], F.col("gray")), ["p"])
+    """rule, p and threshold of each scene: Otsu's on the frame and on the harbour (the raster's west half), the upper medians of both over all scenes, and a fixed one. Rows are read once, for
+    their histograms."""
+    west = (F.col("pixel") % 50 < 25).alias("west")
+    counts = cut(rows.filter("v = 1").groupBy("p", "gray", west).agg(F.count(F.lit(1)).alias("n")), "histograms")
+    otsu = lambda part: scenes.otsu(part.groupBy("p", "gray").agg(F.sum("n").alias("n")), ["p"])
     out = None
-    for name, own in (("frame", otsu(rows)), ("harbour", otsu(rows.filter("pixel % 50 < 25")))):
+    for name, own in (("frame", otsu(counts)), ("harbour", otsu(counts.filter("west")))):
         middle = scenes.upper_median(own.select(F.lit(1).alias("one"), "threshold"), ["one"], "threshold").select(F.col("threshold").alias("middle"))
         both = own.crossJoin(F.broadcast(middle)).select("p", F.explode(F.array(F.struct(F.lit(name).alias("rule"), F.col("threshold")), F.struct(F.lit(f"{name}_median").alias("rule"), F.col("middle").cast("int").alias("threshold")))).alias("r"))
         both = both.select("r.rule", "p", "r.threshold")
@@ -47,18 +53,25 @@ def _thresholds(rows, names=RULES):
     return out.unionByName(fixed).filter(F.col("rule").isin(*names))
 
 
-def _ruled(spark, d, names=RULES):
-    """rule, pixel, p, v, w: the stack's masks by each rule."""
-    rows = gray_stack(spark, d)
-    return rows.join(F.broadcast(_thresholds(rows, names)), "p").select("rule", "pixel", "p", "v", (F.col("v") * (F.col("gray") > F.col("threshold")).cast("int")).alias("w"))
+def _ruled(spark, d, names=RULES, of="true"):
+    """rule, pixel, codes: the stack's masks by each rule, of the pixels of a condition. Thresholds are a parameter of the function: a number for each rule and scene."""
+    table_of = {name: np.full(N, -1) for name in names}  # -1: a scene without a threshold
+    for r in _thresholds(gray_stack(spark, d), names).collect():
+        table_of[r["rule"]][r["p"]] = r["threshold"]
+
+    def wet(level, tide, rule):
+        gray = np.clip((tide - level) // 16 + 128, 0, 255)
+        return gray > table_of[rule], table_of[rule] >= 0
+
+    return pack(spark, d, wet, names=names, of=of)
 
 
 def threshold_experiment(spark, d):
     """Five rules for the water's threshold by their held-out scores on the pixels that each finds intertidal, in the harbour."""
-    rows = _ruled(spark, d).filter("pixel % 50 < 25")
-    full = stepfit.classify(stepfit.fit(rows, N, ("rule", "pixel")), tides(spark), N)
+    rows = _ruled(spark, d, of="pixel % 50 < 25")
+    full = stepfit.classify(stepfit.fit(rows, N, ("rule", "pixel", "codes")), tides(spark), N)
     counts = full.groupBy("rule").agg(*[F.sum((F.col("cls") == c).cast("int")).alias(n) for n, c in (("subtidal", 0), ("intertidal", 128), ("supratidal", 255))])
-    scored = stepfit.held_out_confusion(rows.join(full.filter("cls = 128").select("rule", "pixel"), ["rule", "pixel"], "left_semi"), N, ("rule", "pixel"), ("rule",))
+    scored = stepfit.held_out_confusion(full.filter("cls = 128"), N, ("rule", "pixel"), ("rule",))
     scored = scored.groupBy("rule").agg(F.round(F.avg(stepfit.overlap()), 6).alias("iou"), F.round(F.min(stepfit.overlap()), 6).alias("least"), F.round(F.avg(stepfit.agreement()), 5).alias("agree"))
     return counts.join(scored, "rule")
 
@@ -70,7 +83,7 @@ def reference_pixels(spark, d):
 def rule_lag_grid(spark, d):
     """Two rules by ten uniform lags, scored on the fixed set of intertidal pixels. Lags that round to one bin share an order."""
     bins = {t: int(t / 5 + 0.5) for t in TAUS}
-    rows = _ruled(spark, d, ("frame", "frame_median")).join(reference_pixels(spark, d), "pixel", "left_semi")
+    rows = _ruled(spark, d, ("frame", "frame_median")).join(reference_pixels(spark, d).hint("merge"), "pixel", "left_semi")
     every = sorted(set(bins.values()))
     scores = stepfit.held_out_orders(rows.withColumn("of", (F.col("rule") == "frame").cast("int")), N, "of", bin_orders(every), {0: every, 1: every}, ("pixel", "rule"))
     dealt = spark.createDataFrame(list(bins.items()), "tau int, `order` int")
@@ -79,7 +92,8 @@ def rule_lag_grid(spark, d):
 
 
 def _reference_obs(spark, d):
-    return _obs(spark, d).join(reference_pixels(spark, d), "pixel", "left_semi")
+    """pixel and codes of the intertidal pixels."""
+    return packed_classes(spark, d).filter("cls = 128").select("pixel", "codes")
 
 
 def cloud_lag_grid(spark, d):
@@ -113,10 +127,10 @@ _CHOSEN = {"before": lambda s: _clean(s) and s >= 10, "uniform": lambda s: True,
 
 
 def ablation(spark, d):
-    """Three settings scored on clean scenes: held-out overlap of water and land, agreement."""
+    """Three settings scored on clean scenes: held-out overlap of water and land, agreement. A setting's scores, a row a scene, are kept: mean and median come from one pass over the stack."""
     out = None
     for label, _, n, tau0, slope in ABLATION:
-        rows = _grid_scores(spark, d, [(tau0, slope)], _CHOSEN[label], _reference_obs(spark, d)).filter(CLEAN)
+        rows = cut(_grid_scores(spark, d, [(tau0, slope)], _CHOSEN[label], _reference_obs(spark, d)).filter(CLEAN), "scores")
         rows = rows.withColumns({"land": stepfit.land_overlap(), "agree": stepfit.agreement()})
         middle = scenes.upper_median(rows.select(F.lit(1).alias("one"), "iou"), ["one"], "iou").select(F.round("iou", 6).alias("median"))
         one = rows.agg(F.lit(label).alias("label"), F.lit(n).alias("n_fit"), F.count(F.lit(1)).alias("n_scored"), F.round(F.avg("iou"), 6).alias("iou"), F.round(F.avg("land"), 6).alias("land_iou"), F.round(F.avg("agree"), 5).alias("agree")).crossJoin(middle)
@@ -133,35 +147,38 @@ def ocean_seed():
     return ~focal.inside(F.col("x") + F.lit(0.5), F.col("y") + F.lit(0.5), RING)
 
 
-def along_channel(spark, d):
-    """pixel, dist: the way from the open sea through what the first fit finds wet."""
-    water = _cells_of(classes(spark, d).filter("cls in (0, 128)").select("pixel"))
+def along_channel(spark, d, cls=None):
+    """pixel, dist: the way from the open sea through what the first fit (cls, if that is there) finds wet."""
+    water = _cells_of((classes(spark, d) if cls is None else cls).filter("cls in (0, 128)").select("pixel"))
     way = grid.distance(water, ocean_seed(), 1.0, 1.0, 2**0.5)
     return way.filter(F.col("dist") < float("inf")).select((F.col("y").cast("long") * 50 + F.col("x")).alias("pixel"), "dist")
 
 
+def _lagged(bin):
+    """The scenes by their lagged tide in a bin, as an array of level and scene; a function of the bin alone, so no table of bins is joined, most pixels having the same one."""
+    level = lambda scene: (_tide(scene) * 10 - bin * (scene % 3) * 40).alias("level")
+    return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda scene: F.struct(level(scene), scene.alias("scene"))))
+
+
 def two_pass_fit(spark, d):
     """A fit with one lag for all gives the water, its way to the sea gives each pixel its lag, and the second fit takes the scenes in the order of that. Pixels without a way have none to add."""
-    far = classes(spark, d).select("pixel").join(along_channel(spark, d), "pixel", "left")
-    lags = far.select("pixel", F.coalesce("dist", F.lit(0.0)).alias("dist")).withColumn("bin", lag_bin(F.lit(TAU0), F.lit(SLOPE), F.col("dist")))
-    orders = lag_orders(spark, lags)
-    rows = _obs(spark, d).join(lags.select("pixel", "bin"), "pixel").join(orders.select("bin", "scene", "p"), ["bin", "scene"])
-    fits = stepfit.fit(rows, N, ("bin", "pixel"))
-    levels = orders.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("p", "level"))).alias("steps")).select("bin", F.col("steps.level").alias("levels"))
+    far = packed_stack(spark, d).join(along_channel(spark, d).hint("merge"), "pixel", "left")
+    lags = far.select("pixel", "codes", lag_bin(F.lit(TAU0), F.lit(SLOPE), F.coalesce("dist", F.lit(0.0))).alias("bin"))
+    place = lambda order, c: (F.array_position(order, F.shiftright(c, 2)).cast("int") - 1) * 4 + c % 4
+    again = F.transform(F.array(_lagged(F.col("bin"))["scene"]), lambda order: F.transform("codes", lambda c: place(order, c)))[0]
+    fits = stepfit.fit(lags.select("bin", "pixel", F.sort_array(again).alias("codes")), N, ("bin", "pixel"))
     cls = F.when(F.col("valid") < stepfit.LEAST_VALID, stepfit.NODATA).when(F.col("k") == 0, stepfit.SUBTIDAL).when(F.col("k") == N, stepfit.SUPRATIDAL).otherwise(stepfit.INTERTIDAL)
-    out = fits.join(levels, "bin").withColumn("cls", cls)
-    height = F.when(F.col("cls") == stepfit.INTERTIDAL, (F.get("levels", F.col("k") - 1) + F.get("levels", F.col("k"))) / F.lit(2.0))
-    return out.select("pixel", "bin", "cls", height.alias("height"), "misfit")
+    middle = F.transform(F.array(_lagged(F.col("bin"))["level"]), lambda levels: (F.get(levels, F.col("k") - 1) + F.get(levels, F.col("k"))) / F.lit(2.0))[0]
+    out = fits.withColumn("cls", cls)
+    return out.select("pixel", "bin", "cls", F.when(F.col("cls") == stepfit.INTERTIDAL, middle).alias("height"), "misfit")
 
 
 def place_audit(spark, d):
     """Score, error rate, mean misfit and mean way to the sea of each place's intertidal pixels."""
-    places = spark.createDataFrame([(i, *p) for i, p in enumerate(PLACES)], "rank int, place string, w0 int, s0 int, e0 int, n0 int")
-    inside = (F.col("x") >= F.col("w0")) & (F.col("x") <= F.col("e0")) & (F.col("y") >= F.col("s0")) & (F.col("y") <= F.col("n0"))
-    at = _cells_of(classes(spark, d).filter("cls = 128").select("pixel", "misfit")).join(F.broadcast(places), inside).select("pixel", "place", "misfit")
-    far = at.join(along_channel(spark, d), "pixel", "left").groupBy("place").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg("misfit"), 6).alias("misfit"), F.round(F.avg("dist"), 5).alias("dist"))
-    rows = stack(spark, d).select("pixel", "p", "v", "w").join(at.select("pixel", "place"), "pixel")
-    counts = stepfit.held_out_confusion(rows, N, ("place", "pixel"), ("place",)).groupBy("place").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    at = placed(spark, packed_classes(spark, d).filter("cls = 128").select("pixel", "codes", "misfit"))
+    far = at.select("pixel", "place", "misfit").join(along_channel(spark, d).hint("merge"), "pixel", "left")
+    far = far.groupBy("place").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg("misfit"), 6).alias("misfit"), F.round(F.avg("dist"), 5).alias("dist"))
+    counts = stepfit.held_out_confusion(at, N, ("place", "pixel"), ("place",)).groupBy("place").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
     rate = F.try_divide((F.col("fp") + F.col("fn")).cast("double"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
     return counts.select("place", F.round(stepfit.overlap(), 6).alias("iou"), F.round(rate, 6).alias("error_rate")).join(far, "place")
 
@@ -192,16 +209,16 @@ def clean_classes(spark, d):
     water = _cells_of(cls.filter("cls_after in (0, 128)").select("pixel"))
     sea = grid.connected_to(water, F.col("x") == 0).select((F.col("y").cast("long") * 50 + F.col("x")).alias("pixel"), F.lit(1).alias("sea"))
     after = F.when(F.col("cls_after").isin(0, 128) & F.col("sea").isNull(), 255).otherwise(F.col("cls_after"))
-    return cls.join(sea, "pixel", "left").groupBy("cls_before", after.alias("cls_after")).agg(F.count(F.lit(1)).alias("n"))
+    return cls.join(sea.hint("merge"), "pixel", "left").groupBy("cls_before", after.alias("cls_after")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def component_audit(spark, d):
     """Intertidal components of five cells or more: centre, box, misfit, and the shares inside the polygon, on the way to the sea and beside land; and what that makes them."""
-    cls = classes(spark, d)
-    inter = _cells_of(cls.filter("cls = 128").select("pixel", "misfit"))
+    cls = cut(classes(spark, d).select("pixel", "cls", "misfit"), "classes")
+    inter = _cells_of(cls.filter("cls = 128").select("pixel", "misfit")).select("x", "y", "misfit")
     near = grid.touches(_cells_of(cls.select("pixel", (F.col("cls") == 255).cast("int").alias("land"))).select("x", "y", "land"), "land").select("x", "y", "_near")
-    far = _cells_of(along_channel(spark, d)).select("x", "y", F.lit(1).alias("reached"))
-    rows = grid.components(inter.select("x", "y")).join(inter.select("x", "y", "misfit"), ["x", "y"]).join(near, ["x", "y"]).join(far, ["x", "y"], "left")
+    far = _cells_of(along_channel(spark, d, cls)).select("x", "y", F.lit(1).alias("reached"))
+    rows = grid.components(inter.select("x", "y")).join(inter.hint("merge"), ["x", "y"]).join(near.hint("merge"), ["x", "y"]).join(far.hint("merge"), ["x", "y"], "left")
     share = lambda c: F.avg(c.cast("double"))
     ring = focal.inside(F.col("x") + F.lit(0.5), F.col("y") + F.lit(0.5), RING)
     stats = rows.groupBy("comp").agg(
